@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, and let Spark drop finished shuffles' files.
+
+    Spark's cleaner removes the files of shuffles that the driver's garbage collector has found
+    unreachable, so the disk that a long query takes is that of its largest step, not of all steps.
+    """
+    spark = SparkSession.getActiveSession()
+    jvm = spark._jvm
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/fadeline/" in f}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that ``df`` doesn't use as a column."""
     taken = {c.lower() for c in df.columns}

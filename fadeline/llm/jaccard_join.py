@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import settle
+from fadeline.llm._common import discard, settle
 from fadeline.llm.components import components
 from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 
@@ -105,61 +105,59 @@ def _close(a: str, b: str, num: int, den: int):
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart <= most)
 
 
-def _exact_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the similarity."""
-
-    def verify(batches):
-        for b in batches:
-            xs, ys = b["set_a"], b["set_b"]
-            ok = []
-            for x, y in zip(xs, ys, strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a bigint, b bigint")
-
-
-def _open_groups(meets: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFrame, meets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) of queries ``meets(a, comp)`` with the members of groups ``members(node, comp, part)``.
 
-    One task holds one part's members (at most about ``GROUP``) and one slice of its queries. The
+    One key holds one part's members (at most about ``GROUP``) and one slice of its queries. The
     part's token union bounds the overlap with every member; a query opens the part only beyond it.
-    A query stops at its first link within a part, as the members are connected already.
+    A query stops at its first link within a part, as the members are connected already. The sets
+    are made by another look at the texts and are shuffled once, straight to where they are compared.
     """
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        got_a, got_b = [], []
-        if left.num_rows and right.num_rows:
-            ids = right["node"].to_numpy()
-            own = [v.values.to_numpy() for v in right["set"]]
-            size = np.array([len(v) for v in own])
-            union, index = np.unique(np.concatenate(own), return_inverse=True)
-            owner = np.repeat(np.arange(len(own)), size)
-            order = np.argsort(index, kind="stable")
-            postings, cut = owner[order], np.r_[0, np.cumsum(np.bincount(index, minlength=len(union)))]
-            for a, v in zip(left["a"].to_pylist(), left["set"], strict=True):
-                q = v.values.to_numpy()
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                at = at[union[at] == q]
-                if len(at) < least_shared(len(q), num, den):
-                    continue  # the bound: no member can hold enough of the query
-                shared = np.bincount(np.concatenate([postings[cut[i] : cut[i + 1]] for i in at]), minlength=len(own))
-                if len(hit := np.flatnonzero(den * shared >= num * (len(q) + size - shared))):
-                    got_a.append(a), got_b.append(int(ids[hit[0]]))
-        return pa.table({"a": pa.array(got_a, pa.int64()), "b": pa.array(got_b, pa.int64())})
-
-    parts = members.select("comp", "part").distinct()
-    many = meets.groupBy("comp").agg(F.ceil(F.count("*") / QUERIES).alias("slices"))
+    many = meets.groupBy("comp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slices"))
     queries = (meets.join(many, "comp").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int"))
-               .join(parts, "comp").join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "set", "comp", "part", "slice"))
-    held = (members.join(many, "comp").withColumn("slice", F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))))
-            .join(sets, "node").select("node", "set", "comp", "part", "slice"))
-    key = ["comp", "part", "slice"]
-    held = held.select(*(F.col(c).alias(c) for c in held.columns))  # columns of its own, as both sides stem from ``members``
-    return queries.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(run, "a bigint, b bigint")
+               .join(members.select("comp", "part").distinct(), "comp").select(F.col("a").alias("node"), "comp", "part", "slice", F.lit(False).alias("held")))
+    held = (members.join(many, "comp").select("node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("held")))
+    one = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    seats = settle(queries.unionByName(held).join(one, "node"))
+    bins = max(1, seats.count() // 512)
+    seats = seats.withColumn("bin", F.pmod(F.xxhash64("comp", "part", "slice"), F.lit(bins)).cast("int"))
+
+    def compare(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int]]:
+        ids = right["node"].to_numpy()
+        own = [v.values.to_numpy() for v in right["set"]]
+        size = np.array([len(v) for v in own])
+        union, index = np.unique(np.concatenate(own), return_inverse=True)
+        owner = np.repeat(np.arange(len(own)), size)
+        order = np.argsort(index, kind="stable")
+        postings, cut = owner[order], np.r_[0, np.cumsum(np.bincount(index, minlength=len(union)))]
+        for a, v in zip(left["node"].to_pylist(), left["set"], strict=True):
+            q = v.values.to_numpy()
+            at = np.searchsorted(union, q)
+            at[at == len(union)] = 0
+            at = at[union[at] == q]
+            if len(at) < least_shared(len(q), num, den):
+                continue  # the bound: no member can hold enough of the query
+            shared = np.bincount(np.concatenate([postings[cut[i] : cut[i + 1]] for i in at]), minlength=len(own)) if len(own) > 1 else np.array([len(at)])
+            if len(hit := np.flatnonzero(den * shared >= num * (len(q) + size - shared))):
+                yield a, int(ids[hit[0]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("comp", "ascending"), ("part", "ascending"), ("slice", "ascending"), ("held", "ascending")]).combine_chunks()
+        keys = [table[c].to_numpy() for c in ("comp", "part", "slice")]
+        new = np.flatnonzero(np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])]) if len(table) else []
+        links = []
+        for at, to in zip(new, np.r_[new[1:], len(table)] if len(table) else [], strict=True):
+            own = table["held"].slice(at, to - at).to_numpy()
+            if 0 < own.sum() < len(own):
+                split = at + len(own) - int(own.sum())
+                links += compare(table.slice(at, split - at), table.slice(split, to - split))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    found = _sets_of(docs, doc_id, text, k, seats)
+    seated = seats.join(found, "node").select("bin", "comp", "part", "slice", "held", "node", "set")
+    links = settle(seated.groupBy("bin").applyInArrow(run, "a bigint, b bigint").distinct())
+    discard(seats)
+    return links
 
 
 def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -171,47 +169,55 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """
     rows = settle(document_sets(docs, doc_id, text, k, num, den))
     node = settle(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("n", "parity", "prefix")).alias("x")).select("node", "x.*"))
+    discard()
     w = Window.partitionBy("token")
-    bucket = settle(node.select("node", "n", F.explode("prefix").alias("token"))
-                    .withColumn("centre", F.min(F.struct(F.hash("node").alias("h"), "node")).over(w)["node"])
+    # a first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``
+    bucket = settle(node.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("node", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
+                    .withColumn("c", F.min(F.struct(F.hash("node").alias("h"), F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("room").alias("centre_room"))).over(w))
                     .withColumn("far", F.max("node").over(w) != F.min("node").over(w)).filter("far").drop("far"))
 
+    discard()
     slim = node.select("node", "n", "parity")
     side = lambda c: slim.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
     near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(_close("a", "b", num, den)).select("a", "b")
+    # shared tokens needed: den * s >= num * (x + y - s)
+    fits = lambda x, y, x_room, y_room: (F.least(x_room, y_room) * (num + den) >= (F.col(x) + F.col(y)) * num)
+    open_ = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
-    # the sets of documents that have a bucket in common with another, from a second look at the texts
-    wanted = settle(bucket.select("node").distinct().join(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"))
-    sets = settle(_wanted_sets(docs, doc_id, text, k, wanted))
-
-    stars = settle(near(bucket.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
-    links = settle(_exact_links(stars, sets, num, den))
+    flat = bucket.select("node", "n", "room", "c.*")
+    stars = settle(near(flat.filter("node <> centre").filter(open_("n", "centre_n") & fits("n", "centre_n", F.col("room"), F.col("centre_room")))
+                        .select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
+    links = _open_groups(docs, doc_id, text, k, rows, stars.select("a", F.col("b").alias("comp")), stars.select(F.col("b").alias("node"), F.col("b").alias("comp"), F.lit(0).alias("part")).distinct(), num, den)
 
     # groups: what the seeds have connected; everything else is a group by itself
     comp = components(links)
-    named = bucket.select("node", "n", "token").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = bucket.select("node", "n", "room", "token").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     size = comp.groupBy("comp").agg(F.count("*").alias("size"))
     named = settle(named.join(size, "comp", "left").fillna(1, ["size"])
                    .withColumn("mixed", F.max("comp").over(w) != F.min("comp").over(w)).filter("mixed").drop("mixed"))
-    column = named.groupBy("token", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    column = column.select("token", F.col("comp").alias("group"), F.col("size").alias("group_size"), "low", "high")
+    column = named.groupBy("token", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("group_room"))
+    column = column.select("token", F.col("comp").alias("group"), F.col("size").alias("group_size"), "low", "high", "group_room")
     meets = settle(named.join(column, "token").filter("struct(size, comp) < struct(group_size, group)")
                    .filter((F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num))
+                   .filter(fits("n", "low", F.col("room"), F.col("group_room")))
                    .select(F.col("node").alias("a"), F.col("group").alias("comp"), "group_size").distinct())
-    single = near(meets.filter("group_size = 1").select("a", F.col("comp").alias("b")))
+    single = settle(near(meets.filter("group_size = 1").select("a", F.col("comp").alias("b"))))
     grouped = meets.filter("group_size > 1").select("a", "comp")
     members = (comp.join(size, "comp").join(grouped.select("comp").distinct(), "comp", "left_semi")
                .select("node", "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int").alias("part")))
-    more = settle(_exact_links(settle(single), sets, num, den).unionByName(_open_groups(grouped, members, sets, num, den)))
+    alone = single.select(F.col("b").alias("node"), F.col("b").alias("comp"), F.lit(0).alias("part")).distinct()
+    more = _open_groups(docs, doc_id, text, k, rows, grouped.unionByName(single.select("a", F.col("b").alias("comp"))), settle(members.unionByName(alone)), num, den)
+    discard(node, bucket, named, meets)
     return rows.select("doc_id", "n", "node"), links.unionByName(more)
 
 
-def _wanted_sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, set) of ``wanted(node, doc_id)``.
+def _sets_of(docs: DataFrame, doc_id: str, text: str, k: int, seats: DataFrame) -> DataFrame:
+    """(node, set) of the nodes of ``seats(node, doc_id)``, from another look at one document's text for each.
 
     A bitmap of 2**22 bits over the wanted ids (half a MB, whatever the input) goes to the executors;
     rows that it rules out are skipped before their sets are made, the join settles the rest.
     """
+    wanted = seats.select("node", "doc_id").distinct()
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22))
     cells = (wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("cell"))
              .agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 31 AS INT)))").alias("bits")).toPandas())
@@ -228,8 +234,7 @@ def _wanted_sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFr
                 yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([int(mix(mix(u.view(np.uint64) + np.uint64(len(u))).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) for u in got], pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "node", "set"])
 
     found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).select("doc_id", "t", bit.alias("bit")).mapInArrow(sets, "doc_id bigint, node bigint, `set` array<bigint>")
-    return (wanted.join(found, (wanted["node"] == found["node"]) & wanted["doc_id"].eqNullSafe(found["doc_id"]))
-            .groupBy(wanted["node"]).agg(F.min(found["set"]).alias("set")))
+    return found.join(wanted.select(F.col("node").alias("w"), F.col("doc_id").alias("d")), (F.col("w") == F.col("node")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi").select("node", "set")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fadeline.llm._common import read
 
@@ -13,6 +14,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fadeline.llm.bpe import encode
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded").select("doc_id", "ids", "decoded")
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fadeline.llm.packing import pack, pieces
+
+    rows = pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(rows).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
