@@ -52,16 +52,22 @@ def token_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """A level from 0 to 63 for each cell of the sketch; a higher level means more frequent."""
 
     def count(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total, waiting, n_waiting = np.zeros(1 << CELL_BITS, np.int32), [], 0
         for b in batches:
             for _, data, cuts in text_slices(b[0]):
                 hashes, first, n = shingle_hashes(data, cuts, k)
                 keep = np.zeros(len(hashes) + 1, np.int64)
                 np.add.at(keep, first, 1)
                 np.add.at(keep, first + n, -1)
-                total += np.bincount(hashes[np.cumsum(keep)[:-1] > 0] >> np.uint64(64 - CELL_BITS), minlength=len(total))
+                waiting.append((hashes[np.cumsum(keep)[:-1] > 0] >> np.uint64(64 - CELL_BITS)).astype(np.int32))
+                n_waiting += len(waiting[-1])
+                if n_waiting > 1 << 20:
+                    total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.int32)
+                    waiting, n_waiting = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.int32)
         cells = np.flatnonzero(total >= 8)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
     rows = (docs.select(F.col(text).alias("t")).mapInArrow(count, "cell int, n bigint")
             .groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= CELL_LEAST)

@@ -77,7 +77,7 @@ def shingle_hashes(data: np.ndarray, cuts: np.ndarray, k: int) -> tuple[np.ndarr
     return out, first[:-1], np.where(n >= k, n - k + 1, np.minimum(n, 1))
 
 
-def text_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, cuts) of runs of rows of about ``most`` bytes; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
