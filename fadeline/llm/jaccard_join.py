@@ -6,7 +6,7 @@ lets through are opened and compared member by member. All results are exact up
 
 1. ``token_order``: a fixed-size counting sketch over all documents ranks frequent shingles last.
 2. ``nodes``: one row per distinct set (copies collapse here, before any join) with its size, a
-   1024-bit parity bitmap and its prefix: the rarest tokens, one of which any partner must share.
+   parity bitmap of 2 to 4 bits a token, and its prefix: the rarest tokens, one of which any partner must share.
 3. Seeds: in every bucket of a prefix token each document meets one centre. Verified pairs make the
    groups: connected documents, cut into parts of at most ``GROUP`` members.
 4. The matrix: bucket by bucket, (token, group) against the documents of smaller groups. A document
@@ -33,7 +33,6 @@ from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 CELL_BITS, CELL_LEAST, ORDER_CELLS = 22, 64, 1 << 17
 #: Largest number of members in a part of a group, and of queries held against it in one task.
 GROUP, QUERIES = 128, 1024
-_PARITY_BITS = 1024
 
 
 def least_shared(n: int, num: int, den: int) -> int:
@@ -92,7 +91,8 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
                     node.append(None), parity.append(None), prefix.append(None)
                     continue
                 node.append(int(mix(mix(u + np.uint64(n)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]))
-                bits = np.bincount((u & np.uint64(_PARITY_BITS - 1)).astype(np.int64), minlength=_PARITY_BITS) & 1
+                width = max(64, 1 << (2 * n - 1).bit_length())
+                bits = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 order = np.argsort(rank[u >> np.uint64(64 - CELL_BITS)], kind="stable")
                 prefix.append(u[order[: n - least_shared(n, num, den) + 1]].view(np.int64))
@@ -106,7 +106,10 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
 def _close(a: str, b: str, num: int, den: int):
     """What sizes and parity bitmaps allow: neither ever rejects a pair that links."""
     na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
-    apart = F.aggregate(F.zip_with(f"parity_{a}", f"parity_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    width = F.least(F.size(f"parity_{a}"), F.size(f"parity_{b}"))
+    # a bitmap of twice the width folds onto the other; sizes that can link are never further apart
+    fold = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, F.lit(1), width), F.slice(c, width + 1, width), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(fold(f"parity_{a}"), fold(f"parity_{b}"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = na + nb - 2 * F.ceil((na + nb) * num / F.lit(float(num + den)) - 1e-9)
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart <= most)
 
