@@ -172,7 +172,7 @@ def pack(rows: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFrame
     run gapless from 0 in each sequence. An empty input gives an empty result.
     """
     def solve(last: bool, level: int):
-        def run(key, table: pa.Table) -> pa.Table:
+        def run(key, table):
             lengths = table["length"].to_numpy()
             order = np.lexsort((table["piece"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy(), lengths))
             table, lengths = table.take(pa.array(order)), lengths[order]
