@@ -41,7 +41,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     key = once.select("tree", F.col("node").alias("up"))
     at = (once.select("tree", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
           .join(key.withColumn("real", F.lit(True)), ["tree", "up"], "left")
-          .select("tree", "node", F.when("real", F.col("up")).alias("up"), F.lit(1).cast("bigint").alias("depth"), "total"))
+          .select("tree", "node", F.when(F.col("real"), F.col("up")).alias("up"), F.lit(1).cast("bigint").alias("depth"), "total"))
     jumps = []
     left = None
     while True:
