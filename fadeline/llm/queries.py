@@ -74,8 +74,29 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fadeline.llm.license_scan import scan
+
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    out = scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
+    return out.select(F.col("key").alias("doc_id"), "license", F.round("similarity", 6).alias("similarity"), "n_segments", "inherited_from")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fadeline.llm.quality_classifier import classify
+
+    return classify(read(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("score", 6).alias("score"), "kept")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name == "pipeline" or name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
