@@ -7,11 +7,12 @@ lets through are opened and compared member by member. All results are exact up
 1. ``token_order``: a fixed-size counting sketch over all documents ranks frequent shingles last.
 2. ``nodes``: one row per distinct set (copies collapse here, before any join) with its size, a
    parity bitmap of 2 to 4 bits a token, and its prefix: the rarest tokens, one of which any partner must share.
-3. Seeds: in every bucket of a prefix token each document meets one centre. Verified pairs make the
-   groups: connected documents, cut into parts of at most ``GROUP`` members.
-4. The matrix: bucket by bucket, (token, group) against the documents of smaller groups. A document
-   meets a group once; its tokens are held against the part's union and the part is opened only if
-   enough of them are in it. So a cluster costs its size times the groups near it, never its square.
+3. Groups: in every bucket of a prefix token each document meets one centre; documents near the same
+   centre form a group, cut into parts of about ``GROUP`` members. Each part is compared with itself and
+   the next one, which connects nearly all of a dense group at a cost linear in its size.
+4. The matrix: bucket by bucket, (token, part) against the documents not yet connected with what the
+   part holds. A document meets a part once; its tokens in the part's union bound what any member can
+   share with it, and the part is opened only if that is enough.
 
 Nothing is dropped or capped: hot tokens only change the order, never the candidates' completeness.
 """
@@ -47,6 +48,12 @@ def _sets(batch: pa.RecordBatch, text: str, k: int) -> Iterator[tuple[int, np.nd
             yield at + i, np.unique(hashes[first[i] : first[i] + n[i]])
 
 
+def _node(u: np.ndarray) -> int:
+    """The name of a set: equal sets, equal names."""
+    u = u.view(np.uint64)
+    return int(mix(mix(u + np.uint64(len(u))).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+
+
 def token_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """A level from 0 to 63 for each cell of the sketch; a higher level means more frequent."""
 
@@ -90,7 +97,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
                 if not n:
                     node.append(None), parity.append(None), prefix.append(None)
                     continue
-                node.append(int(mix(mix(u + np.uint64(n)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]))
+                node.append(_node(u))
                 width = max(64, 1 << (2 * n - 1).bit_length())
                 bits = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
@@ -103,33 +110,48 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
         sets, "doc_id bigint, n bigint, node bigint, parity array<bigint>, prefix array<bigint>")
 
 
-def _close(a: str, b: str, num: int, den: int):
-    """What sizes and parity bitmaps allow: neither ever rejects a pair that links."""
-    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+def _apart(a: str, b: str):
+    """Bits in which two parity bitmaps differ: never more than the sets' symmetric difference has tokens."""
     width = F.least(F.size(f"parity_{a}"), F.size(f"parity_{b}"))
     # a bitmap of twice the width folds onto the other; sizes that can link are never further apart
     fold = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, F.lit(1), width), F.slice(c, width + 1, width), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
-    apart = F.aggregate(F.zip_with(fold(f"parity_{a}"), fold(f"parity_{b}"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(fold(f"parity_{a}"), fold(f"parity_{b}"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _close(a: str, b: str, num: int, den: int):
+    """What sizes and parity bitmaps allow a pair: never rejects one that links."""
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
     most = na + nb - 2 * F.ceil((na + nb) * num / F.lit(float(num + den)) - 1e-9)
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart <= most)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (_apart(a, b) <= most)
+
+
+def _within_two(a: str, b: str, num: int, den: int):
+    """What allows ``a`` to link with something that links with ``b``: differences add up at most.
+
+    A bitmap of more than twice the other's width would need folding twice; such pairs pass unseen.
+    """
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    between = F.least(na, nb) * (den / num)
+    most = (na + 2 * between + nb) * ((den - num) / (den + num)) + 1e-6
+    wide = F.greatest(F.size(f"parity_{a}"), F.size(f"parity_{b}")) > 2 * F.least(F.size(f"parity_{a}"), F.size(f"parity_{b}"))
+    return wide | (_apart(a, b) <= most)
 
 
 def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFrame, meets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of queries ``meets(a, comp)`` with the members of groups ``members(node, comp, part)``.
+    """Links of queries ``meets(a, seed, part)`` with members of groups' parts ``members(node, seed, part)``.
 
-    One key holds one part's members (at most about ``GROUP``) and one slice of its queries. The
-    part's token union bounds the overlap with every member; a query opens the part only beyond it.
-    A query stops at its first link within a part, as the members are connected already. The sets
-    are made by another look at the texts and are shuffled once, straight to where they are compared.
+    One key holds one part's members (about ``GROUP``) and one slice of its queries. The part's token
+    union bounds the overlap with every member; a query opens the part only beyond it. Of the links
+    found, those that connect are returned: (a, b), at most one for each document in a key. Texts,
+    which compress better than hashes, go to where they are compared and become sets there.
     """
-    many = meets.groupBy("comp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slices"))
-    queries = (meets.join(many, "comp").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int"))
-               .join(members.select("comp", "part").distinct(), "comp").select(F.col("a").alias("node"), "comp", "part", "slice", F.lit(False).alias("held")))
-    held = (members.join(many, "comp").select("node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("held")))
+    many = meets.groupBy("seed", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slices"))
+    queries = (meets.join(many, ["seed", "part"]).select(F.col("a").alias("node"), "seed", "part", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("held")))
+    held = (members.join(many, ["seed", "part"]).select("node", "seed", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("held")))
     one = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     seats = settle(queries.unionByName(held).join(one, "node"))
     bins = max(1, seats.count() // 512)
-    seats = seats.withColumn("bin", F.pmod(F.xxhash64("comp", "part", "slice"), F.lit(bins)).cast("int"))
+    seats = seats.withColumn("bin", F.pmod(F.xxhash64("seed", "part", "slice"), F.lit(bins)).cast("int"))
 
     def compare(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int]]:
         ids = right["node"].to_numpy()
@@ -139,6 +161,13 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFram
         owner = np.repeat(np.arange(len(own)), size)
         order = np.argsort(index, kind="stable")
         postings, cut = owner[order], np.r_[0, np.cumsum(np.bincount(index, minlength=len(union)))]
+        root = {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
         for a, v in zip(left["node"].to_pylist(), left["set"], strict=True):
             q = v.values.to_numpy()
             at = np.searchsorted(union, q)
@@ -147,12 +176,21 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFram
             if len(at) < least_shared(len(q), num, den):
                 continue  # the bound: no member can hold enough of the query
             shared = np.bincount(np.concatenate([postings[cut[i] : cut[i + 1]] for i in at]), minlength=len(own)) if len(own) > 1 else np.array([len(at)])
-            if len(hit := np.flatnonzero(den * shared >= num * (len(q) + size - shared))):
-                yield a, int(ids[hit[0]])
+            for b in ids[den * shared >= num * (len(q) + size - shared)].tolist():
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+        for x in list(root):
+            if top(x) != x:
+                yield x, root[x]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("comp", "ascending"), ("part", "ascending"), ("slice", "ascending"), ("held", "ascending")]).combine_chunks()
-        keys = [table[c].to_numpy() for c in ("comp", "part", "slice")]
+        table = table.combine_chunks()
+        batch = table.select(["t"]).to_batches()[0] if len(table) else None
+        sets = [u.view(np.int64) for _, u in _sets(batch, "t", k)] if len(table) else []
+        right = [_node(u) == n for u, n in zip(sets, table["node"].to_pylist(), strict=True)]  # another document may share an id
+        table = table.drop_columns(["t"]).append_column("set", pa.array(sets, pa.list_(pa.int64()))).filter(pa.array(right, pa.bool_()))
+        table = table.sort_by([("seed", "ascending"), ("part", "ascending"), ("slice", "ascending"), ("held", "ascending")]).combine_chunks()
+        keys = [table[c].to_numpy() for c in ("seed", "part", "slice")]
         new = np.flatnonzero(np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])]) if len(table) else []
         links = []
         for at, to in zip(new, np.r_[new[1:], len(table)] if len(table) else [], strict=True):
@@ -162,8 +200,8 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFram
                 links += compare(table.slice(at, split - at), table.slice(split, to - split))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    found = _sets_of(docs, doc_id, text, k, seats)
-    seated = seats.join(found, "node").select("bin", "comp", "part", "slice", "held", "node", "set")
+    found = _texts_of(docs, doc_id, text, seats)
+    seated = seats.join(found, seats["doc_id"].eqNullSafe(found["d"])).select("bin", "seed", "part", "slice", "held", "node", "t")
     links = settle(seated.groupBy("bin").applyInArrow(run, "a bigint, b bigint").distinct())
     discard(seats)
     return links
@@ -193,57 +231,63 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     fits = lambda x, y, x_room, y_room: (F.least(x_room, y_room) * (num + den) >= (F.col(x) + F.col(y)) * num)
     open_ = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
-    flat = bucket.select("node", "n", "room", "c.*")
-    stars = settle(near(flat.filter("node <> centre").filter(open_("n", "centre_n") & fits("n", "centre_n", F.col("room"), F.col("centre_room")))
-                        .select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
-    links = _open_groups(docs, doc_id, text, k, rows, stars.select("a", F.col("b").alias("comp")), stars.select(F.col("b").alias("node"), F.col("b").alias("comp"), F.lit(0).alias("part")).distinct(), num, den)
-
-    # groups: what the seeds have connected; everything else is a group by itself
+    # groups: documents that look near the same centre; a document near none is a group by itself
+    flat = bucket.select("node", "n", "room", "c.*").filter("node <> centre").filter(open_("n", "centre_n") & fits("n", "centre_n", F.col("room"), F.col("centre_room")))
+    met = flat.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").filter(_within_two("a", "b", num, den)).select("a", "b")
+    seed = settle(met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.hash("b").alias("h"), "b"))["b"].alias("seed")))
+    # a centre without a centre of its own is a member of its group
+    own = seed.select(F.col("seed").alias("node")).distinct().join(seed.select("node"), "node", "left_anti").select("node", F.col("node").alias("seed"))
+    members = seed.unionByName(own)
+    parts = members.groupBy("seed").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.count("*").alias("held")).filter("held > 1").drop("held")
+    members = settle(members.join(parts, "seed").select("node", "seed", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    # each part against itself and the next: nearly all of a dense group is connected by that
+    turn = F.explode(F.expr("CASE WHEN parts > 1 THEN array(part, (part + 1) % parts) ELSE array(part) END"))
+    links = _open_groups(docs, doc_id, text, k, rows, members.select(F.col("node").alias("a"), "seed", turn.alias("part")), members.select("node", "seed", "part"), num, den)
+
+    # the matrix: documents against the parts near them that hold anything not yet connected with them
     comp = components(links)
-    named = bucket.select("node", "n", "room", "token").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    size = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    named = settle(named.join(size, "comp", "left").fillna(1, ["size"])
-                   .withColumn("mixed", F.max("comp").over(w) != F.min("comp").over(w)).filter("mixed").drop("mixed"))
-    column = named.groupBy("token", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("group_room"))
-    column = column.select("token", F.col("comp").alias("group"), F.col("size").alias("group_size"), "low", "high", "group_room")
-    meets = settle(named.join(column, "token").filter("struct(size, comp) < struct(group_size, group)")
+    comp = comp.join(comp.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    info = settle(members.join(comp, "node", "full").select("node", F.coalesce("seed", "node").alias("seed"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")))
+    named = (bucket.select("node", "n", "room", "token").join(info, "node", "left")
+             .select("token", "node", "n", "room", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("seed", "node").alias("seed"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(0)).alias("parts"))
+             .withColumn("mixed", F.max("comp").over(w) != F.min("comp").over(w)).filter("mixed").drop("mixed"))
+    column = named.groupBy("token", "seed", "part", "parts", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("group_room"))
+    column = column.select("token", F.col("seed").alias("group"), F.col("part").alias("group_part"), F.col("parts").alias("group_parts"), F.col("comp").alias("group_comp"), F.col("size").alias("group_size"), "low", "high", "group_room")
+    done = "seed = group AND (part = group_part OR group_part = (part + 1) % parts OR part = (group_part + 1) % parts)"
+    meets = settle(named.join(column, "token").filter("struct(size, comp) < struct(group_size, group_comp)").filter(f"NOT ({done})")
                    .filter((F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num))
                    .filter(fits("n", "low", F.col("room"), F.col("group_room")))
-                   .select(F.col("node").alias("a"), F.col("group").alias("comp"), "group_size").distinct())
-    single = settle(near(meets.filter("group_size = 1").select("a", F.col("comp").alias("b"))))
-    grouped = meets.filter("group_size > 1").select("a", "comp")
-    members = (comp.join(size, "comp").join(grouped.select("comp").distinct(), "comp", "left_semi")
-               .select("node", "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int").alias("part")))
-    alone = single.select(F.col("b").alias("node"), F.col("b").alias("comp"), F.lit(0).alias("part")).distinct()
-    more = _open_groups(docs, doc_id, text, k, rows, grouped.unionByName(single.select("a", F.col("b").alias("comp"))), settle(members.unionByName(alone)), num, den)
-    discard(node, bucket, named, meets)
+                   .select(F.col("node").alias("a"), F.col("group").alias("seed"), F.col("group_part").alias("part"), F.col("group_parts") == 0).toDF("a", "seed", "part", "alone").distinct())
+    single = near(meets.filter("alone").select("a", F.col("seed").alias("b"))).select("a", F.col("b").alias("seed"), F.lit(0).alias("part"))
+    meets2 = settle(meets.filter("NOT alone").select("a", "seed", "part").unionByName(single))
+    alone = single.select(F.col("seed").alias("node"), "seed", "part").distinct()
+    more = _open_groups(docs, doc_id, text, k, rows, meets2, settle(info.join(meets2.select("seed", "part").distinct(), ["seed", "part"], "left_semi").select("node", "seed", "part").unionByName(alone).distinct()), num, den)
+    discard(node, bucket, meets)
     return rows.select("doc_id", "n", "node"), links.unionByName(more)
 
 
-def _sets_of(docs: DataFrame, doc_id: str, text: str, k: int, seats: DataFrame) -> DataFrame:
-    """(node, set) of the nodes of ``seats(node, doc_id)``, from another look at one document's text for each.
+def _texts_of(docs: DataFrame, doc_id: str, text: str, seats: DataFrame) -> DataFrame:
+    """(d, t): ids and texts of documents, of which those in ``seats(doc_id)`` are sure to be among them.
 
-    A bitmap of 2**22 bits over the wanted ids (half a MB, whatever the input) goes to the executors;
-    rows that it rules out are skipped before their sets are made, the join settles the rest.
+    A bitmap of 2**22 bits over the wanted ids (half a MB, whatever the input) goes to the executors and
+    rules out most others before anything is shuffled; the join with the seats settles the rest.
     """
-    wanted = seats.select("node", "doc_id").distinct()
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22))
-    cells = (wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("cell"))
+    cells = (seats.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("cell"))
              .agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 31 AS INT)))").alias("bits")).toPandas())
     words = np.zeros(1 << 17, np.int64)
     words[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64) if len(cells) else 0
     maybe = docs.sparkSession.sparkContext.broadcast(words)
 
-    def sets(batches):
+    def wanted(batches):
         for b in batches:
             at = b["bit"].to_numpy()
             b = b.filter(pa.array((maybe.value[at >> 5] >> (at & 31)) & 1 == 1))
             if b.num_rows:
-                got = [u.view(np.int64) for _, u in _sets(b, "t", k)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([int(mix(mix(u.view(np.uint64) + np.uint64(len(u))).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) for u in got], pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "node", "set"])
+                yield b.select(["d", "t"])
 
-    found = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).select("doc_id", "t", bit.alias("bit")).mapInArrow(sets, "doc_id bigint, node bigint, `set` array<bigint>")
-    return found.join(wanted.select(F.col("node").alias("w"), F.col("doc_id").alias("d")), (F.col("w") == F.col("node")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi").select("node", "set")
+    return (docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).select(F.col("doc_id").alias("d"), "t", bit.alias("bit"))
+            .mapInArrow(wanted, "d bigint, t string"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
