@@ -23,6 +23,9 @@ BYTE_OF = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate
 #: Fixed by the format: the pattern that cuts text before the merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD_SPACE = regex.compile(r" (?=\s)|\s\Z")
+#: Pieces that can go on without end, but white space, whose last character depends on what follows.
+_RUNS = [regex.compile(r" ?\p{L}+"), regex.compile(r" ?\p{N}+"), regex.compile(r" ?[^\s\p{L}\p{N}]+")]
+_OPEN = 4096
 #: A piece can go on from one chunk to the next; what follows within so many characters settles it.
 _SETTLED = 4
 
@@ -30,7 +33,7 @@ _SETTLED = 4
 class Bpe:
     """A vocabulary with its merge list: ``encode``, ``encode_stream`` and ``decode_stream``."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 400_000, cached_chunks: int = 1_200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         as_bytes = lambda s: bytes(BYTE_OF[c] for c in s)
@@ -42,7 +45,7 @@ class Bpe:
         self.longest = max(map(len, self.ids))
         self.lookahead = self._lookahead()
         self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self._cached, self._pieces, self._chunks, self._follows = cached, {}, {}, {}
+        self._cached, self._cached_chunks, self._pieces, self._chunks, self._follows = cached, cached_chunks, {}, {}, {}
 
     def _lookahead(self) -> int:
         """Bytes from a merge's start that can matter for it.
@@ -118,20 +121,49 @@ class Bpe:
             end -= len(last[end - 1])
         return out[::-1]
 
+    def _short(self, raw: bytes) -> tuple[int, ...]:
+        """The transducer's path through a short piece whose end is known: longest tokens first; a cut
+        that leads nowhere isn't tried again. Tokens that may follow one another all along are the tokenisation."""
+        ids, known, follows, n = self.ids, self._follows, self.follows, len(raw)
+        path: list[bytes] = []
+        upto, dead, at = [n], set(), 0
+        while at < n:
+            before = path[-1] if path else None
+            end = upto[-1]
+            while end > at:
+                if end not in dead and (t := raw[at:end]) in ids and (known[before, t] if (before, t) in known else follows(before, t)):
+                    break
+                end -= 1
+            if end > at:
+                upto[-1] = end - 1
+                upto.append(n)
+                path.append(t)
+                at = end
+            else:
+                dead.add(at)
+                upto.pop()
+                at -= len(path.pop())
+        return tuple([ids[t] for t in path])
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         if (got := self._pieces.get(piece)) is None:
             if len(self._pieces) > self._cached:
                 self._pieces.clear()
             raw = piece.encode()
             one = self.ids.get(raw)
-            step = 4 * self.longest
-            got = (one,) if one is not None and self.follows(None, raw) else tuple(self.tokens(raw[i : i + step] for i in range(0, len(raw), step)))
+            if one is not None and self.follows(None, raw):
+                got = (one,)
+            elif len(raw) <= 64:
+                got = self._short(raw)
+            else:
+                step = 4 * self.longest
+                got = tuple(self.tokens(raw[i : i + step] for i in range(0, len(raw), step)))
             if len(raw) <= 64:
                 self._pieces[piece] = got
         return got
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        if len(self._chunks) > self._cached:
+        if len(self._chunks) > self._cached_chunks:
             self._chunks.clear()
         got = tuple(i for p in PIECES.findall(chunk) for i in self._piece(p))
         if len(chunk) <= 64:
@@ -163,35 +195,70 @@ class Bpe:
         return out
 
     def encode_stream(self, chunks: Iterable[str]) -> Iterator[int]:
-        """The ids of a text that arrives in chunks, in memory that doesn't grow with the text."""
+        """The ids of a text that arrives in chunks. What is held back is one open piece's and one
+        special string's worth of characters; a piece beyond that is fed to the transducer as it comes."""
         starts = {s[:i] for s in self.special for i in range(1, len(s))}
-        held = ""
-        run: list[bytes] | None = None
-
-        def settled(buffer: str, last: bool) -> tuple[list[str], str]:
-            pieces, at = [], 0
-            for m in PIECES.finditer(buffer):
-                if not last and m.end() > len(buffer) - _SETTLED:
+        source, held, last = iter(chunks), "", False
+        ready: list[str] = []  # cut pieces, but for the open one
+
+        def begun(text: str) -> int:
+            """Characters at the end that may be the start of a special string."""
+            return next((len(text) - i for i in range(max(0, len(text) - 64), len(text)) if text[i:] in starts), 0)
+
+        def more() -> bool:
+            """Take in another chunk and cut what is settled; the rest stays in ``held``."""
+            nonlocal held, last
+            if last:
+                return False
+            try:
+                held += next(source)
+            except StopIteration:
+                last = True
+            while self._special and (m := self._special.search(held)):
+                ready.extend(PIECES.findall(held[: m.start()]))
+                ready.append(m[0])
+                held = held[m.end() :]
+            tail = 0 if last else begun(held)
+            at = 0
+            for m in PIECES.finditer(held, 0, len(held) - tail):
+                if not last and m.end() > len(held) - tail - _SETTLED:
                     break
-                pieces.append(m[0])
+                ready.append(m[0])
                 at = m.end()
-            return pieces, buffer[at:]
-
-        del run
-        for chunk in chunks:
-            held += chunk
-            while self._special and (m := self._special.search(held)):
-                for p in settled(held[: m.start()], True)[0]:
+            held = held[at:]
+            return True
+
+        def run(kind: regex.Pattern) -> Iterator[bytes]:
+            """The open piece, as long as it goes on; it leaves what comes after it in ``held``."""
+            nonlocal held, last
+            while True:
+                m = self._special.search(held) if self._special else None
+                limit = m.start() if m else len(held) - (0 if last else begun(held))
+                end = min(r.end() if (r := kind.match(held)) else 0, limit)
+                if m or last or end < limit:
+                    yield held[:end].encode()
+                    held = held[end:]
+                    return
+                cut = max(0, end - _SETTLED)
+                yield held[:cut].encode()
+                held = held[cut:]
+                try:
+                    held += next(source)
+                except StopIteration:
+                    last = True
+
+        while more():
+            for p in ready:
+                if p in self.special:
+                    yield self.special[p]
+                else:
                     yield from self._piece(p)
-                yield self.special[m[0]]
-                held = held[m.end() :]
-            tail = next((len(held) - i for i in range(max(0, len(held) - 64), len(held)) if held[i:] in starts), 0)
-            pieces, rest = settled(held[: len(held) - tail], False)
-            for p in pieces:
-                yield from self._piece(p)
-            held = rest + held[len(held) - tail :]
-        for p in settled(held, True)[0]:
-            yield from self._piece(p)
+            ready.clear()
+            if len(held) > _OPEN and not last:
+                kind = next((k for k in _RUNS if k.match(held) and k.match(held).end() == len(held)), None)
+                if kind is not None:
+                    yield from self.tokens(run(kind))
+        yield from self.encode(held)  # what a run left behind at the very end
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes certain: a UTF-8 automaton that holds at most three bytes. Bytes that
