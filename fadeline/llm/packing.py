@@ -9,11 +9,14 @@ long as that at least halves it. So no task sees more than about ``SHARD`` piece
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,33 +27,72 @@ from fadeline.llm._common import settle
 SHARD, WELL = 16_384, 0.998
 ISLANDS, POPULATION, GENERATIONS, MIGRATE_EVERY = 2, 3, 6, 2
 
-#: Characters that Python's split() takes for white space and vocabularies don't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters that Python's split() or lower() treat unlike the library.
+_ODD = re.compile("[\x00\x1c-\x1f\u0130\u03a3]")
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+#: Fixed by the vocabulary: the pattern of its pieces.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class Tokens:
-    """Ids of texts, by words that are looked up once; the tokenizers library makes each word's ids.
+    """Ids of texts, by words that are looked up once; the tokenizers library makes each piece's ids.
 
-    Sound for vocabularies whose pre-tokenizer drops white space: no token then spans two words.
+    Sound for vocabularies that drop white space, lower-case, and close each piece with a token of its
+    own kind (``</w>``): no token spans two pieces. Texts for which lower-casing word by word could
+    differ from the library's order of steps are left to the library as they are, word by word.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._cached, self._known = cached, {}
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids as unsigned 32-bit integers."""
-        words = [text] if _ODD_SPACE.search(text) else text.split()
-        known = self._known
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self._special = [t["content"] for t in spec["added_tokens"]]
+        self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self._last[[i for s, i in spec["model"]["vocab"].items() if s.endswith("</w>")]] = True
+        self._cached, self._words, self._pieces = cached, {}, {}
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces, many in one text; where that doesn't come apart as expected, one by one."""
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self._last[np.minimum(ids, len(self._last) - 1)]) + 1
+            if len(ends) == len(part):
+                raw, ends = ids.tobytes(), (ends * 4).tolist()
+                self._pieces.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self._pieces.update(zip(part, self._library(part), strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids as unsigned 32-bit integers."""
+        known, split = self._words, []
         if len(known) > self._cached:
             known.clear()
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            for w, e in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        for w in missing:
+        if len(self._pieces) > self._cached:
+            self._pieces.clear()
+        plain: set[str] = set()
+        other: set[str] = set()
+        for t in texts:
+            simple = not _ODD.search(t) and unicodedata.is_normalized("NFC", t) and not any(x in t for x in self._special)
+            words = t.lower().split() if simple else [f"\x00{w}" for w in _SPACE.split(t) if w]
+            split.append(words)
+            (plain if simple else other).update(w for w in words if w not in known)
+        cut = {w: _PIECE.findall(w) for w in plain}
+        if new := list({p for ps in cut.values() for p in ps if p not in self._pieces}):
+            self._learn(new)
+        pieces = self._pieces
+        for w, ps in cut.items():
+            known[w] = b"".join([pieces[p] for p in ps])
+        if other:
+            rest = list(other)
+            known.update(zip(rest, self._library([w[1:] for w in rest]), strict=True))
+        out = [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        for w in (*plain, *other):
             if len(w) > 48:
                 del known[w]
         return out
@@ -72,8 +114,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         tokens = _LOADED[path]
         for b in batches:
             rows: list[tuple] = []
-            for d, t in zip(b[0].to_pylist(), b[1], strict=True):
-                ids = np.append(tokens.ids(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for d, ids in zip(b[0].to_pylist(), tokens.ids([t or "" for t in b[1].to_pylist()]), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity].tobytes()
                     rows.append((d, k, at, len(part) // 4, zlib.crc32(part), part))
