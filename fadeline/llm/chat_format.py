@@ -57,8 +57,8 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node"))
     path = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", "branch", "node")
     for jump in jumps[:-1]:
-        path = path.unionByName(path.join(jump.filter("up IS NOT NULL"), ["tree", "node"]).select("tree", "branch", F.col("up").alias("node")))
-    return path.distinct().join(at.select("tree", "node", "depth"), ["tree", "node"]).join(once, ["tree", "node"])
+        path = settle(path.unionByName(path.join(jump.filter("up IS NOT NULL"), ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"))).distinct())
+    return path.join(at.select("tree", "node", "depth"), ["tree", "node"]).join(once, ["tree", "node"])
 
 
 def format_turns(turns: DataFrame, key: list[str], order: list[str], loss_role: str = "assistant") -> DataFrame:
