@@ -52,7 +52,8 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             break
         left = now
         far = at.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("d"), F.col("total").alias("t"))
-        at = at.join(far, ["tree", "up"], "left").select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"))
+        going = at.filter("up IS NOT NULL").join(far, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"))
+        at = at.filter("up IS NULL").unionByName(going)  # messages that have reached their root wait
     leaves = at.filter("up IS NULL").join(once.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node"))
     path = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", "branch", "node")
