@@ -10,12 +10,12 @@ long as that at least halves it. So no task sees more than about ``SHARD`` piece
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +27,8 @@ from fadeline.llm._common import settle
 SHARD, WELL = 16_384, 0.998
 ISLANDS, POPULATION, GENERATIONS, MIGRATE_EVERY = 2, 3, 6, 2
 
-#: Characters that Python's split() or lower() treat unlike the library.
-_ODD = re.compile("[\x00\x1c-\x1f\u0130\u03a3]")
-_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+#: Texts with these are left to the library: characters whose lower case isn't one character, and special tokens.
+_ODD = "[\u0130]|<\\|(?:startoftext|endoftext)\\|>"
 #: Fixed by the vocabulary: the pattern of its pieces.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -48,7 +47,6 @@ class Tokens:
         self._tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._special = [t["content"] for t in spec["added_tokens"]]
         self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self._last[[i for s, i in spec["model"]["vocab"].items() if s.endswith("</w>")]] = True
         self._cached, self._words, self._pieces = cached, {}, {}
@@ -60,7 +58,7 @@ class Tokens:
         """Ids of pieces, many in one text; where that doesn't come apart as expected, one by one."""
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
-            ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self._last[np.minimum(ids, len(self._last) - 1)]) + 1
             if len(ends) == len(part):
                 raw, ends = ids.tobytes(), (ends * 4).tolist()
@@ -68,33 +66,55 @@ class Tokens:
             else:
                 self._pieces.update(zip(part, self._library(part), strict=True))
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids as unsigned 32-bit integers."""
-        known, split = self._words, []
+    def _resolve(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct lower-cased words."""
+        known = self._words
         if len(known) > self._cached:
             known.clear()
         if len(self._pieces) > self._cached:
             self._pieces.clear()
-        plain: set[str] = set()
-        other: set[str] = set()
-        for t in texts:
-            simple = not _ODD.search(t) and unicodedata.is_normalized("NFC", t) and not any(x in t for x in self._special)
-            words = t.lower().split() if simple else [f"\x00{w}" for w in _SPACE.split(t) if w]
-            split.append(words)
-            (plain if simple else other).update(w for w in words if w not in known)
-        cut = {w: _PIECE.findall(w) for w in plain}
-        if new := list({p for ps in cut.values() for p in ps if p not in self._pieces}):
-            self._learn(new)
-        pieces = self._pieces
-        for w, ps in cut.items():
-            known[w] = b"".join([pieces[p] for p in ps])
-        if other:
-            rest = list(other)
-            known.update(zip(rest, self._library([w[1:] for w in rest]), strict=True))
-        out = [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
-        for w in (*plain, *other):
-            if len(w) > 48:
-                del known[w]
+        found = list(map(known.get, words))
+        if None in found:
+            cut = [(k, w, _PIECE.findall(w)) for k, (w, f) in enumerate(zip(words, found, strict=True)) if f is None]
+            pieces = self._pieces
+            if new := list({p for _, _, ps in cut for p in ps if p not in pieces}):
+                self._learn(new)
+            for k, w, ps in cut:
+                found[k] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+                if len(w) <= 48:
+                    known[w] = found[k]
+        return found
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids as unsigned 32-bit integers; a null text has none.
+
+        Arrow cuts the words of all texts at once and tells the distinct ones; only those are looked up.
+        """
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        ascii_ = pc.fill_null(pc.string_is_ascii(texts), True).to_pylist()
+        odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False).to_pylist()
+        simple, at = [], []
+        for i, (a, o) in enumerate(zip(ascii_, odd, strict=True)):
+            if not o and (a or unicodedata.is_normalized("NFC", texts[i].as_py())):
+                simple.append(i)
+            elif texts[i].is_valid:
+                at.append(i)
+        for i, raw in zip(at, self._library([texts[i].as_py() for i in at]), strict=True):
+            out[i] = np.frombuffer(raw, "<u4")
+        if simple:
+            lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.take(pa.array(simple)), "")))
+            coded = lists.flatten().dictionary_encode()
+            raws = self._resolve(coded.dictionary.to_pylist())
+            blob = np.frombuffer(b"".join(raws), "<u4")
+            length = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+            first = np.cumsum(length) - length
+            word = coded.indices.to_numpy()
+            n = length[word]
+            ends = np.r_[0, np.cumsum(n)]
+            flat = blob[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])] if len(word) else blob[:0]
+            cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            for k, i in enumerate(simple):
+                out[i] = flat[cuts[k] : cuts[k + 1]]
         return out
 
 
@@ -114,7 +134,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         tokens = _LOADED[path]
         for b in batches:
             rows: list[tuple] = []
-            for d, ids in zip(b[0].to_pylist(), tokens.ids([t or "" for t in b[1].to_pylist()]), strict=True):
+            for d, ids in zip(b[0].to_pylist(), tokens.ids(b[1]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity].tobytes()
