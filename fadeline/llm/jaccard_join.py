@@ -214,15 +214,19 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     different sets that link are connected by them, directly or over others that link. Copies of a
     set share a node. A document without words (or with null text) has n = 0 and a null node.
     """
-    rows = settle(document_sets(docs, doc_id, text, k, num, den))
-    node = settle(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("n", "parity", "prefix")).alias("x")).select("node", "x.*"))
-    discard()
+    fat = settle(document_sets(docs, doc_id, text, k, num, den))
+    node = settle(fat.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("n", "parity", "prefix")).alias("x")).select("node", "x.*"))
+    rows = settle(fat.select("doc_id", "n", "node"))
+    discard(fat)
     w = Window.partitionBy("token")
-    # a first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``
-    bucket = settle(node.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("node", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
-                    .withColumn("c", F.min(F.struct(F.hash("node").alias("h"), F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("room").alias("centre_room"))).over(w))
-                    .withColumn("far", F.max("node").over(w) != F.min("node").over(w)).filter("far").drop("far"))
-
+    # a first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``;
+    # size and room travel as one number
+    both = (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes")
+    part = lambda c, name: (F.shiftright(c, 32).alias(f"{name}n"), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{name}room"))
+    bucket = (node.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("node", "token", both)
+              .withColumn("c", F.min(F.struct(F.hash("node").alias("h"), F.col("node").alias("centre"), F.col("sizes").alias("centre_sizes"))).over(w))
+              .withColumn("far", F.max("node").over(w) != F.min("node").over(w)).filter("far"))
+    bucket = settle(bucket.select("node", "token", *part("sizes", ""), F.col("c.centre").alias("centre"), *part("c.centre_sizes", "centre_")))
     discard()
     slim = node.select("node", "n", "parity")
     side = lambda c: slim.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
@@ -232,7 +236,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     open_ = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
     # groups: documents that look near the same centre; a document near none is a group by itself
-    flat = bucket.select("node", "n", "room", "c.*").filter("node <> centre").filter(open_("n", "centre_n") & fits("n", "centre_n", F.col("room"), F.col("centre_room")))
+    flat = bucket.filter("node <> centre").filter(open_("n", "centre_n") & fits("n", "centre_n", F.col("room"), F.col("centre_room")))
     met = flat.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").filter(_within_two("a", "b", num, den)).select("a", "b")
     seed = settle(met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.hash("b").alias("h"), "b"))["b"].alias("seed")))
     # a centre without a centre of its own is a member of its group
@@ -258,7 +262,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                    .filter((F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num))
                    .filter(fits("n", "low", F.col("room"), F.col("group_room")))
                    .select(F.col("node").alias("a"), F.col("group").alias("seed"), F.col("group_part").alias("part"), F.col("group_parts") == 0).toDF("a", "seed", "part", "alone").distinct())
-    single = near(meets.filter("alone").select("a", F.col("seed").alias("b"))).select("a", F.col("b").alias("seed"), F.lit(0).alias("part"))
+    single = settle(near(meets.filter("alone").select("a", F.col("seed").alias("b"))).select("a", F.col("b").alias("seed"), F.lit(0).alias("part")))
     meets2 = settle(meets.filter("NOT alone").select("a", "seed", "part").unionByName(single))
     alone = single.select(F.col("seed").alias("node"), "seed", "part").distinct()
     more = _open_groups(docs, doc_id, text, k, rows, meets2, settle(info.join(meets2.select("seed", "part").distinct(), ["seed", "part"], "left_semi").select("node", "seed", "part").unionByName(alone).distinct()), num, den)
