@@ -292,7 +292,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     """
     from pyspark.sql import types as T
 
-    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
     keep = [f for f in docs.schema.fields if f.name.lower() not in {n.name.lower() for n in new}]
     names = [f.name for f in keep]
 
