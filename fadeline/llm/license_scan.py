@@ -50,19 +50,35 @@ def _terms(text: str) -> list[str]:
 
 
 def _telling() -> list[str]:
-    return sorted({t for _, x in TEMPLATES for t in _terms(x)} - _COMMON)
+    return sorted({t for _, x in TEMPLATES for t in _terms(x) if len(t) > 1} - _COMMON)
 
 
-def term_weights(docs: DataFrame, text: str) -> dict[str, float]:
+def read_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_words, terms, segments): one pass over the texts.
+
+    ``terms``: the template terms that the document holds; ``segments``: those that hold a telling one, looked
+    for only in documents that do.
+    """
+    vocabulary = sorted({t for _, x in TEMPLATES for t in _terms(x)})
+    ends = [*vocabulary, *(f"{t}." for t in vocabulary)]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    rows = rows.withColumn("found", F.array_distinct(F.filter(F.split(F.lower("t"), r"[^a-z0-9.]+"), lambda w: w.isin(ends))))
+    rows = rows.withColumn("terms", F.array_distinct(F.transform("found", lambda w: F.rtrim(w, F.lit("."))))).drop("found")
+    telling = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, _telling())) + ")(?![a-z0-9])"
+    some = F.arrays_overlap("terms", F.array(*map(F.lit, _telling())))
+    segments = F.filter(F.split("t", r"\n|(?<=[.;!?])\s+"), lambda s: s.rlike(telling))
+    return rows.select("key", F.when(some, F.size(F.filter(F.split("t", r"\s+"), lambda w: w != ""))).alias("n_words"), "terms", F.when(some, segments).alias("segments"))
+
+
+def term_weights(texts: DataFrame) -> dict[str, float]:
     """Inverse document frequency of the templates' terms over all documents; \"\" stands for any other term.
 
     Each document is reduced to the template terms that it holds before anything is shuffled, so the
     driver gets as many counts as templates have terms.
     """
     vocabulary = sorted({t for _, x in TEMPLATES for t in _terms(x)})
-    has = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9.]+"), lambda w: F.rtrim(w, F.lit(".")).isin(vocabulary)))
-    counts = docs.select(F.explode(F.transform(has, lambda w: F.rtrim(w, F.lit("."))).alias("t")).alias("t")).groupBy("t").count().collect()
-    n = docs.count()
+    counts = texts.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
+    n = texts.count()
     seen = {r["t"]: r["count"] for r in counts}
     return {t: math.log((1 + n) / (1 + min(n, seen.get(t, 0)))) + 1 for t in vocabulary} | {"": math.log(1 + n) + 1}
 
@@ -71,20 +87,22 @@ def _weights(idf: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for t, w in idf.items() for x in (t, w)))
 
 
-def best_segments(docs: DataFrame, key: str, text: str, idf: dict[str, float]) -> DataFrame:
+def best_segments(texts: DataFrame, idf: dict[str, float]) -> DataFrame:
     """(key, license, similarity, share, n_segments) of every document with a segment over the threshold.
 
     The templates' vectors are constants of the plan. Equal similarities: the longer segment, then the earlier template.
     """
-    telling = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, _telling())) + ")(?![a-z0-9])"
-    segments = F.filter(F.split(F.col(text), r"\n|(?<=[.;!?])\s+"), lambda s: s.rlike(telling))
-    rows = docs.filter(F.col(text).rlike(telling)).select(F.col(key).alias("key"), F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")).alias("n_words"), F.explode(segments).alias("segment"))
+    rows = texts.filter("segments IS NOT NULL").select("key", "n_words", F.explode("segments").alias("segment"))
     terms = F.regexp_extract_all(F.lower("segment"), F.lit(f"({_TERM})"), 1)
-    rows = rows.withColumn("terms", terms).withColumn("kinds", F.array_distinct("terms"))
-    table = _weights(idf)
-    count = F.transform("kinds", lambda t: F.struct(t.alias("t"), (F.size(F.filter("terms", lambda x: x == t)) * F.coalesce(F.element_at(table, t), F.lit(idf[""]))).alias("w")))
-    rows = rows.withColumn("vector", F.when(F.size("kinds") <= 200, count))  # no segment of more kinds of terms can reach the threshold: see the README
-    rows = rows.filter("vector IS NOT NULL").withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
+    vocabulary = [t for t in idf if t]
+    rows = rows.withColumn("terms", terms)
+    rows = rows.withColumn("held", F.filter("terms", lambda t: t.isin(vocabulary))).withColumn("rest", F.array_sort(F.filter("terms", lambda t: ~t.isin(vocabulary))))
+    table = _weights({t: idf[t] for t in vocabulary})
+    count = F.transform(F.array_distinct("held"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("held", lambda x: x == t)) * F.element_at(table, t)).alias("w")))
+    # squares of the other terms' numbers, one by one along their sorted list: a run of r grows its square by 2 r + 1
+    squares = F.aggregate("rest", F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("sum")), lambda s, x: F.struct(
+        x.alias("last"), F.when(s["last"] == x, s["run"] + 1).otherwise(1).cast("bigint").alias("run"), (s["sum"] + F.when(s["last"] == x, 2 * s["run"] + 1).otherwise(1)).cast("bigint").alias("sum")), lambda s: s["sum"])
+    rows = rows.withColumn("vector", count).withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]) + squares * (idf[""] ** 2)))
     scores = []
     for rank, (name, notice) in enumerate(TEMPLATES):
         t = _terms(notice)
@@ -112,7 +130,8 @@ def scan(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     """
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
     rows = rows.withColumn("__row", F.xxhash64("key", "path", "text"))
-    found = settle(best_segments(rows, "__row", "text", term_weights(rows, "text")).withColumnRenamed("key", "__row"))
+    texts = settle(read_texts(rows, "__row", "text"))
+    found = settle(best_segments(texts, term_weights(texts)).withColumnRenamed("key", "__row"))
     slim = rows.select("key", "path", "__row")
     labelled = settle(slim.join(found, "__row", "left").drop("__row"))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
