@@ -19,7 +19,7 @@ from fadeline.llm._common import discard, settle
 from fadeline.llm.shingles import text_slices, word_hashes
 
 #: Documents that train the scorer, at most: those with the smallest hashes of id and text.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Features: byte pairs, and bands of the labellers' measurements.
 _PAIRS, _BANDS = 1 << 16, 16
 #: Documents under this score are rejected; shorter ones than LEAST_WORDS are kept unless clearly bad.
@@ -109,18 +109,18 @@ def features(data: np.ndarray, cuts: np.ndarray, m: np.ndarray) -> list[tuple[np
     return out
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 60, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic scorer, by full gradients with momentum on soft targets."""
-    size = _PAIRS + len(MEASURES) * _BANDS + 1
+def train(index: np.ndarray, value: np.ndarray, owner: np.ndarray, target: np.ndarray, epochs: int = 60, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic scorer, by full gradients with momentum on soft targets.
+
+    ``index``, ``value`` and ``owner`` hold all documents' features end to end; ``owner`` numbers the document.
+    """
+    n, size = len(target), _PAIRS + len(MEASURES) * _BANDS + 1
     w, step = np.zeros(size), np.zeros(size)
-    if not rows:
+    if not n:
         return w
-    index = np.concatenate([i for i, _ in rows])
-    value = np.concatenate([v for _, v in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     balance = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
     for _ in range(epochs):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[index] * value, len(rows)) + w[-1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[index] * value, n) + w[-1], -30, 30)))
         error = (p - target) * balance
         grad = np.bincount(index, error[owner] * value, size)
         grad[-1] = error.sum()
@@ -173,8 +173,10 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
             yield pa.RecordBatch.from_arrays([b[0], pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), pa.array(target, pa.float64())], names=["h", "i", "v", "p"])
 
     got = chosen.mapInArrow(describe, "h bigint, i array<int>, v array<float>, p double").orderBy("h").limit(sample).toArrow()
-    rows = [(i.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(float)) for i, v in zip(got["i"], got["v"], strict=True)]
-    weights = train(rows, got["p"].to_numpy())
+    lists = got["i"].combine_chunks()
+    owner = np.repeat(np.arange(len(got), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    weights = train(lists.flatten().to_numpy(), got["v"].combine_chunks().flatten().to_numpy(), owner, got["p"].to_numpy())
+    del got, lists, owner
     model = docs.sparkSession.sparkContext.broadcast((weights, posterior))  # half a MB
     discard(voted)
 
