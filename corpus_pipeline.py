@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fadeline.llm import jaccard_join, packing, quality_classifier, quality_rules
-from fadeline.llm._common import settle, small_batches
+from fadeline.llm._common import settle, small_batches, without
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -20,8 +19,7 @@ def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     An id that occurs more than once stays only if all its rows are kept. Rows with a null id have no
     verdict that could be told from another's, and go.
     """
-    kept = verdicts.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return without(docs.filter("doc_id IS NOT NULL"), "doc_id", verdicts.filter("NOT kept").select("doc_id"))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

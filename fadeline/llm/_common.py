@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -56,6 +57,28 @@ def discard(*tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+#: Bits of the filter by which most rows skip a join; it is at most 2**17 rows of 12 bytes, whatever the input.
+FILTER_BITS = 1 << 22
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` isn't in the one column of ``gone``; null keys stay.
+
+    A bit map over the hashes of ``gone`` is sent out, so that only rows that it can't clear take part in the
+    shuffle of the join: wide rows stay where they are. Where the map is full, it is a plain anti join.
+    """
+    name, cell = free_name(rows, "__gone"), free_name(rows, "__cell")
+    gone = gone.toDF(name).filter(F.col(name).isNotNull()).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(`{c}`), 32) AS INT))")
+    cells = gone.select(F.floor(place(name) / 32).alias(cell), bit(name).alias("bit")).groupBy(cell).agg(F.bit_or("bit").alias(f"{cell}bits"))
+    marked = rows.withColumn(cell, F.floor(place(key) / 32)).join(F.broadcast(cells), cell, "left")  # at most FILTER_BITS / 32 rows
+    maybe = F.coalesce(F.col(f"{cell}bits").bitwiseAND(bit(key)) != 0, F.lit(False)) & F.col(key).isNotNull()
+    sure = marked.filter(~maybe).select(*rows.columns)
+    unsure = marked.filter(maybe).select(*rows.columns)
+    return sure.unionByName(unsure.join(gone, F.col(key) == F.col(name), "left_anti"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that ``df`` doesn't use as a column."""
     taken = {c.lower() for c in df.columns}

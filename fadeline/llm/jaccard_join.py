@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, settle
+from fadeline.llm._common import discard, settle, without
 from fadeline.llm.components import components
 from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 
@@ -314,8 +314,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     All columns stay. Documents without words, and those with a null id, all stay. Of rows that
     repeat an id and a text, one stays.
     """
-    comp = jaccard_components(docs, doc_id, text, k, num, den)
-    keep = comp.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    with_id = docs.filter(F.col(doc_id).isNotNull())
-    kept = with_id.join(keep, F.col(doc_id) == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))
+    comp = jaccard_components(docs, doc_id, text, k, num, den).filter("doc_id IS NOT NULL")
+    ids = settle(comp.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows")))
+    kept = without(docs, doc_id, ids.filter("NOT first").select("doc_id"))
+    repeated = ids.filter("rows > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    again = kept.join(repeated.withColumnRenamed("doc_id", "__again"), F.col(doc_id) == F.col("__again"), "left_semi")
+    return without(kept, doc_id, repeated).unionByName(again.dropDuplicates([doc_id]))
