@@ -61,22 +61,27 @@ def discard(*tables: DataFrame) -> None:
 FILTER_BITS = 1 << 22
 
 
-def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """``rows`` whose ``key`` isn't in the one column of ``gone``; null keys stay.
+def sieve(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is certainly not in the one column of ``ids``, all others); null keys count as not in it.
 
-    A bit map over the hashes of ``gone`` is sent out, so that only rows that it can't clear take part in the
-    shuffle of the join: wide rows stay where they are. Where the map is full, it is a plain anti join.
+    A bit map over the hashes of ``ids`` is sent out, so that only the others need take part in the shuffle of a
+    join: rows that it clears stay where they are. Where the map is full, it clears none.
     """
-    name, cell = free_name(rows, "__gone"), free_name(rows, "__cell")
-    gone = gone.toDF(name).filter(F.col(name).isNotNull()).distinct()
+    name, cell = free_name(rows, "__id"), free_name(rows, "__cell")
+    ids = ids.toDF(name).filter(F.col(name).isNotNull())
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bit = lambda c: F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(`{c}`), 32) AS INT))")
-    cells = gone.select(F.floor(place(name) / 32).alias(cell), bit(name).alias("bit")).groupBy(cell).agg(F.bit_or("bit").alias(f"{cell}bits"))
+    cells = ids.select(F.floor(place(name) / 32).alias(cell), bit(name).alias("bit")).groupBy(cell).agg(F.bit_or("bit").alias(f"{cell}bits"))
     marked = rows.withColumn(cell, F.floor(place(key) / 32)).join(F.broadcast(cells), cell, "left")  # at most FILTER_BITS / 32 rows
     maybe = F.coalesce(F.col(f"{cell}bits").bitwiseAND(bit(key)) != 0, F.lit(False)) & F.col(key).isNotNull()
-    sure = marked.filter(~maybe).select(*rows.columns)
-    unsure = marked.filter(maybe).select(*rows.columns)
-    return sure.unionByName(unsure.join(gone, F.col(key) == F.col(name), "left_anti"))
+    return marked.filter(~maybe).select(*rows.columns), marked.filter(maybe).select(*rows.columns)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` isn't in the one column of ``gone``; null keys stay. Wide rows that the sieve clears aren't shuffled."""
+    sure, unsure = sieve(rows, key, gone)
+    name = free_name(rows, "__gone")
+    return sure.unionByName(unsure.join(gone.toDF(name), F.col(key) == F.col(name), "left_anti"))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, settle, without
+from fadeline.llm._common import discard, settle, sieve, without
 from fadeline.llm.components import components
 from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 
@@ -252,8 +252,10 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     comp = components(links)
     comp = comp.join(comp.groupBy("comp").agg(F.count("*").alias("size")), "comp")
     info = settle(members.join(comp, "node", "full").select("node", F.coalesce("seed", "node").alias("seed"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")))
-    named = (bucket.select("node", "n", "room", "token").join(info, "node", "left")
+    alone, some = sieve(bucket.select("node", "n", "room", "token"), "node", info.select("node"))  # most rows are of documents without a group or link
+    named = (some.join(info, "node", "left")
              .select("token", "node", "n", "room", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("seed", "node").alias("seed"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(0)).alias("parts"))
+             .unionByName(alone.select("token", "node", "n", "room", F.col("node").alias("comp"), F.lit(1).cast("bigint").alias("size"), F.col("node").alias("seed"), F.lit(0).alias("part"), F.lit(0).cast("bigint").cast(info.schema["parts"].dataType).alias("parts")))
              .withColumn("mixed", F.max("comp").over(w) != F.min("comp").over(w)).filter("mixed").drop("mixed"))
     column = named.groupBy("token", "seed", "part", "parts", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("group_room"))
     column = column.select("token", F.col("seed").alias("group"), F.col("part").alias("group_part"), F.col("parts").alias("group_parts"), F.col("comp").alias("group_comp"), F.col("size").alias("group_size"), "low", "high", "group_room")
