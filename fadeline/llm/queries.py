@@ -100,4 +100,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from fadeline.llm import oracles
+
+    return oracles.oracle_sql()
