@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,15 +75,17 @@ class Tokens:
         if len(self._pieces) > self._cached:
             self._pieces.clear()
         found = list(map(known.get, words))
-        if None in found:
-            cut = [(k, w, _PIECE.findall(w)) for k, (w, f) in enumerate(zip(words, found, strict=True)) if f is None]
-            pieces = self._pieces
-            if new := list({p for _, _, ps in cut for p in ps if p not in pieces}):
+        if missing := [k for k, f in enumerate(found) if f is None]:
+            cut, pieces, split = [], self._pieces, _PIECE.findall
+            for k in missing:
+                cut.append(split(words[k]))
+            if new := list({p for ps in cut for p in ps if p not in pieces}):
                 self._learn(new)
-            for k, w, ps in cut:
-                found[k] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+            for k, ps in zip(missing, cut, strict=True):
+                w = words[k]
+                found[k] = raw = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
                 if len(w) <= 48:
-                    known[w] = found[k]
+                    known[w] = raw
         return found
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
@@ -121,6 +124,19 @@ class Tokens:
 _LOADED: dict[str, Tokens] = {}
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``least`` bytes: the more words at once, the fewer distinct ones in all."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then ``end_id``.
 
@@ -132,7 +148,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         if path not in _LOADED:
             _LOADED[path] = Tokens(path)
         tokens = _LOADED[path]
-        for b in batches:
+        for b in _gathered(batches):
             rows: list[tuple] = []
             for d, ids in zip(b[0].to_pylist(), tokens.ids(b[1]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
