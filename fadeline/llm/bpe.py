@@ -9,14 +9,19 @@ before it are stable and leave. Memory is the buffer, however long the text.
 from __future__ import annotations
 
 import codecs
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fadeline.llm._common import gathered
+
 #: Fixed by the format: how byte-level vocabularies spell bytes as printable characters.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_OF = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -46,6 +51,7 @@ class Bpe:
         self.lookahead = self._lookahead()
         self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._cached, self._cached_chunks, self._pieces, self._chunks, self._follows = cached, cached_chunks, {}, {}, {}
+        self._table: tuple | None = None
 
     def _lookahead(self) -> int:
         """Bytes from a merge's start that can matter for it.
@@ -194,6 +200,64 @@ class Bpe:
                 at = m.end()
         return out
 
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of all texts as one Arrow array; nulls have none.
+
+        Arrow cuts plain texts at single spaces and tells the distinct stretches; each of those is
+        looked up or transduced once, and the ids are put together by position. Texts with other
+        spacing or special strings are encoded one by one.
+        """
+        values = texts.to_pylist()
+        plain = [i for i, t in enumerate(values) if t and not _ODD_SPACE.search(t) and not (self._special and self._special.search(t))]
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(values)
+        rest = set(range(len(values))).difference(plain)
+        for i in rest:
+            if values[i]:
+                parts[i] = np.array(self.encode(values[i]), np.int32)
+        if plain:
+            lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            starts = lists.offsets.to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            known, chunk = self._chunks, self._chunk
+            ids = [known.get(w) or chunk(w) for w in map(" ".__add__, coded.dictionary.to_pylist())]
+            word = coded.indices.to_numpy().astype(np.int64)
+            first = starts[:-1] - starts[0]
+            heads = lists.flatten().take(pa.array(first)).to_pylist()
+            word[first] = len(ids) + np.arange(len(heads))  # a text's first stretch has no space before it
+            ids += [self._chunk(h) if h else () for h in heads]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))
+            begin = np.cumsum(size) - size
+            n = size[word]
+            ends = np.r_[0, np.cumsum(n)]
+            got = flat[np.repeat(begin[word] - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[starts - starts[0]]
+            if not rest:
+                return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(got))
+            for k, i in enumerate(plain):
+                parts[i] = got[cuts[k] : cuts[k + 1]]
+        offsets = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """Each list's text, by the same automaton as ``decode_stream``; bytes are gathered for all tokens at once."""
+        if self._table is None:
+            most = max(self.bytes) + 1
+            raw = [self.bytes.get(i, b"") for i in range(most)]
+            size = np.fromiter(map(len, raw), np.int64, most)
+            self._table = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
+        blob, begin, size = self._table
+        out, step = [], 1 << 20
+        for one in lists:
+            ids, state, text = one.values.to_numpy() if one.is_valid else (), codecs.getincrementaldecoder("utf-8")("replace"), []
+            for at in range(0, len(ids), step):
+                part = ids[at : at + step]
+                n = size[part]
+                ends = np.cumsum(n)
+                text.append(state.decode(blob[np.repeat(begin[part] - ends + n, n) + np.arange(ends[-1])].tobytes()))
+            out.append("".join([*text, state.decode(b"", True)]))
+        return pa.array(out, pa.string())
+
     def encode_stream(self, chunks: Iterable[str]) -> Iterator[int]:
         """The ids of a text that arrives in chunks. What is held back is one open piece's and one
         special string's worth of characters; a piece beyond that is fed to the transducer as it comes."""
@@ -298,15 +362,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     def run(batches):
         bpe = loaded(path)
-        for whole in batches:
+        for whole in gathered(batches):
             at, size = 0, max(1, min(len(whole), int(len(whole) * (16 << 20) / max(1, whole.nbytes))))
             while at < len(whole):
                 b = whole.slice(at, size)
                 at += size
-                got = [bpe.encode(x) if x else [] for x in b[-1].to_pylist()]
-                cols = [b[i] for i in range(len(names))] + [pa.array(got, pa.list_(pa.int32()))]
+                got = bpe.encode_all(b[-1])
+                cols = [*(b[i] for i in range(len(names))), got]
                 if decoded:
-                    cols.append(pa.array(["".join(bpe.decode_stream(x)) for x in got], pa.string()))
+                    cols.append(bpe.decode_all(got))
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *(n.name for n in new)])
 
     return docs.select(*names, F.col(text).alias("\x00text")).mapInArrow(run, T.StructType(keep + new))
@@ -322,7 +386,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     def run(batches):
         bpe = loaded(path)
         for b in batches:
-            out = pa.array(["".join(bpe.decode_stream(x or [])) for x in b[-1].to_pylist()], pa.string())
+            out = bpe.decode_all(b[-1])
             yield pa.RecordBatch.from_arrays([*(b[i] for i in range(len(names))), out], names=[*names, text])
 
     return rows.select(*names, F.col(ids).alias("\x00ids")).mapInArrow(run, T.StructType([*keep, T.StructField(text, T.StringType())]))

@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fadeline.llm._common import settle
+from fadeline.llm._common import gathered, settle
 
 #: Pieces in a shard, on average; a bin that is fuller than WELL is final.
 SHARD, WELL = 16_384, 0.998
@@ -124,19 +123,6 @@ class Tokens:
 _LOADED: dict[str, Tokens] = {}
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], least: int = 12 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``least`` bytes: the more words at once, the fewer distinct ones in all."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= least:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held and sum(map(len, held)):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then ``end_id``.
 
@@ -148,7 +134,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         if path not in _LOADED:
             _LOADED[path] = Tokens(path)
         tokens = _LOADED[path]
-        for b in _gathered(batches):
+        for b in gathered(batches):
             rows: list[tuple] = []
             for d, ids in zip(b[0].to_pylist(), tokens.ids(b[1]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
