@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fadeline.llm import license_scan as L
 from fadeline.llm import quality_rules as Q
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -69,5 +70,29 @@ c AS (SELECT node, min(comp) AS comp FROM r GROUP BY node), k AS (SELECT a, COUN
 SELECT vec_id, coalesce(k.n, 0) AS n_links, comp AS component_id, vec_id = comp AS kept FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 
+def _licenses() -> str:
+    vocabulary = sorted({t for _, x in L.TEMPLATES for t in L._terms(x)})
+    words = _list(vocabulary)
+    notices = ", ".join(f"({k}, '{name}', {_list(L._terms(x))})" for k, (name, x) in enumerate(L.TEMPLATES))
+    telling = "|".join(t.replace(".", "[.]") for t in L._telling())
+    return rf"""WITH d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, text FROM documents),
+kinds AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '[^a-z0-9.]+'), lambda x: CASE WHEN list_contains({words}, x) THEN x WHEN x LIKE '%.' AND list_contains({words}, x[1:-2]) THEN rtrim(x, '.') END), lambda x: x IS NOT NULL)) AS k FROM d),
+df AS (SELECT t, COUNT(*) AS c FROM (SELECT unnest(k) AS t FROM kinds) x GROUP BY t), total AS (SELECT COUNT(*) AS n FROM d),
+idf AS (SELECT v.t, ln((1 + n) / (1 + coalesce(c, 0))::DOUBLE) + 1 AS w FROM (SELECT unnest({words}) AS t) v CROSS JOIN total LEFT JOIN df ON df.t = v.t),
+seg AS (SELECT doc_id, i, unnest(string_split(regexp_replace(text, '([.;!?])\s+', '' || chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.;!?])\s+', '' || chr(10), 'g'), chr(10)), 1) AS j FROM (SELECT doc_id, text, 0 AS i FROM d) x),
+hit AS (SELECT doc_id, j, regexp_extract_all(lower(s), '[0-9]+(?:\.[0-9]+)+|[a-z0-9]+') AS terms FROM seg WHERE regexp_matches(s, '(?i)(^|[^a-z0-9])({telling})([^a-z0-9]|$)')),
+tf AS (SELECT doc_id, j, t, COUNT(*) AS f FROM (SELECT doc_id, j, unnest(terms) AS t FROM hit) x GROUP BY doc_id, j, t),
+wt AS (SELECT doc_id, j, tf.t, f * coalesce(w, ln(1 + n) + 1) AS w FROM tf CROSS JOIN total LEFT JOIN idf ON idf.t = tf.t),
+nrm AS (SELECT doc_id, j, sqrt(sum(w * w)) AS n FROM wt GROUP BY doc_id, j),
+tpl AS (SELECT * FROM (VALUES {notices}) v(r, name, terms)), tw AS (SELECT r, x.t, COUNT(*) * any_value(w) AS w FROM (SELECT r, unnest(terms) AS t FROM tpl) x JOIN idf ON idf.t = x.t GROUP BY r, x.t), tn AS (SELECT r, sqrt(sum(w * w)) AS n FROM tw GROUP BY r),
+cos AS (SELECT wt.doc_id, wt.j, tw.r, sum(wt.w * tw.w) / (any_value(nrm.n) * any_value(tn.n)) AS c FROM wt JOIN tw ON tw.t = wt.t JOIN nrm ON nrm.doc_id = wt.doc_id AND nrm.j = wt.j JOIN tn ON tn.r = tw.r GROUP BY wt.doc_id, wt.j, tw.r),
+best AS (SELECT doc_id, j, c, r, len(terms) AS size FROM (SELECT cos.*, hit.terms, row_number() OVER (PARTITION BY cos.doc_id, cos.j ORDER BY c DESC, r) AS k FROM cos JOIN hit ON hit.doc_id = cos.doc_id AND hit.j = cos.j) x WHERE k = 1 AND c >= {L.THRESHOLD}),
+own AS (SELECT doc_id, name AS license, c AS similarity, covered, segments FROM (SELECT best.*, sum(size) OVER (PARTITION BY doc_id) AS covered, COUNT(*) OVER (PARTITION BY doc_id) AS segments, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, size DESC, r) AS k FROM best) x JOIN tpl ON tpl.r = x.r WHERE k = 1),
+a AS (SELECT d.doc_id, path, license, similarity, segments, covered / greatest(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), 1)::DOUBLE AS share, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM d LEFT JOIN own ON own.doc_id = d.doc_id),
+spoken AS (SELECT folder, license AS theirs FROM (SELECT folder, license, row_number() OVER (PARTITION BY folder ORDER BY round(similarity, 9) DESC, license) AS k FROM a WHERE license IS NOT NULL AND share >= {L.SPEAKS}) x WHERE k = 1),
+near AS (SELECT doc_id, any_value(s.theirs ORDER BY length(s.folder) DESC) AS theirs, any_value(s.folder ORDER BY length(s.folder) DESC) AS origin FROM a JOIN spoken s ON s.folder = a.folder OR s.folder = '' OR starts_with(a.folder, s.folder || '/') WHERE license IS NULL GROUP BY doc_id)
+SELECT a.doc_id, coalesce(license, theirs) AS license, round(similarity, 6) AS similarity, coalesce(segments, 0) AS n_segments, origin AS inherited_from FROM a LEFT JOIN near ON near.doc_id = a.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": JACCARD, "op5_chat_format": CHAT, "op7_quality_rules": RULES, "op8_embedding_dedup": EMBEDDINGS}
+    return {"op1_ngram_jaccard_join": JACCARD, "op5_chat_format": CHAT, "op7_quality_rules": RULES, "op8_embedding_dedup": EMBEDDINGS, "op9_license_scan": _licenses()}
