@@ -102,7 +102,8 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
                 bits = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 order = np.argsort(rank[u >> np.uint64(64 - CELL_BITS)], kind="stable")
-                prefix.append(u[order[: n - least_shared(n, num, den) + 1]].view(np.int64))
+                # 48 bits are enough to meet by: a chance meeting costs a comparison, never a result
+                prefix.append((u[order[: n - least_shared(n, num, den) + 1]] >> np.uint64(16)).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b[0], pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parity, longs), pa.array(prefix, longs)], names=["doc_id", "n", "node", "parity", "prefix"])
 
@@ -137,7 +138,7 @@ def _within_two(a: str, b: str, num: int, den: int):
     return wide | (_apart(a, b) <= most)
 
 
-def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFrame, meets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, node: DataFrame, meets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """Links of queries ``meets(a, seed, part)`` with members of groups' parts ``members(node, seed, part)``.
 
     One key holds one part's members (about ``GROUP``) and one slice of its queries. The part's token
@@ -148,8 +149,7 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFram
     many = meets.groupBy("seed", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slices"))
     queries = (meets.join(many, ["seed", "part"]).select(F.col("a").alias("node"), "seed", "part", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("held")))
     held = (members.join(many, ["seed", "part"]).select("node", "seed", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("held")))
-    one = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    seats = settle(queries.unionByName(held).join(one, "node"))
+    seats = settle(queries.unionByName(held).join(node.select("node", "name", "doc_id"), "node"))
     bins = max(1, seats.count() // 512)
     seats = seats.withColumn("bin", F.pmod(F.xxhash64("seed", "part", "slice"), F.lit(bins)).cast("int"))
 
@@ -187,8 +187,8 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFram
         table = table.combine_chunks()
         batch = table.select(["t"]).to_batches()[0] if len(table) else None
         sets = [u.view(np.int64) for _, u in _sets(batch, "t", k)] if len(table) else []
-        right = [_node(u) == n for u, n in zip(sets, table["node"].to_pylist(), strict=True)]  # another document may share an id
-        table = table.drop_columns(["t"]).append_column("set", pa.array(sets, pa.list_(pa.int64()))).filter(pa.array(right, pa.bool_()))
+        right = [_node(u) == n for u, n in zip(sets, table["name"].to_pylist(), strict=True)]  # another document may share an id
+        table = table.drop_columns(["t", "name"]).append_column("set", pa.array(sets, pa.list_(pa.int64()))).filter(pa.array(right, pa.bool_()))
         table = table.sort_by([("seed", "ascending"), ("part", "ascending"), ("slice", "ascending"), ("held", "ascending")]).combine_chunks()
         keys = [table[c].to_numpy() for c in ("seed", "part", "slice")]
         new = np.flatnonzero(np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])]) if len(table) else []
@@ -201,7 +201,7 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, rows: DataFram
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     found = _texts_of(docs, doc_id, text, seats)
-    seated = seats.join(found, seats["doc_id"].eqNullSafe(found["d"])).select("bin", "seed", "part", "slice", "held", "node", "t")
+    seated = seats.join(found, seats["doc_id"].eqNullSafe(found["d"])).select("bin", "seed", "part", "slice", "held", "node", "name", "t")
     links = settle(seated.groupBy("bin").applyInArrow(run, "a bigint, b bigint").distinct())
     discard(seats)
     return links
@@ -215,8 +215,10 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     set share a node. A document without words (or with null text) has n = 0 and a null node.
     """
     fat = settle(document_sets(docs, doc_id, text, k, num, den))
-    node = settle(fat.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("n", "parity", "prefix")).alias("x")).select("node", "x.*"))
-    rows = settle(fat.select("doc_id", "n", "node"))
+    # from here on a set goes by a dense number, which travels in fewer bytes than its name
+    node = settle(fat.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("n", "parity", "prefix")).alias("x"), F.min("doc_id").alias("doc_id"))
+                  .select(F.col("node").alias("name"), "x.*", "doc_id", F.monotonically_increasing_id().alias("node")))
+    rows = settle(fat.select("doc_id", "n", F.col("node").alias("name")).join(node.select("name", "node"), "name", "left").select("doc_id", "n", "node"))
     discard(fat)
     w = Window.partitionBy("token")
     # a first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``;
@@ -246,7 +248,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     members = settle(members.join(parts, "seed").select("node", "seed", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
     # each part against itself and the next: nearly all of a dense group is connected by that
     turn = F.explode(F.expr("CASE WHEN parts > 1 THEN array(part, (part + 1) % parts) ELSE array(part) END"))
-    links = _open_groups(docs, doc_id, text, k, rows, members.select(F.col("node").alias("a"), "seed", turn.alias("part")), members.select("node", "seed", "part"), num, den)
+    links = _open_groups(docs, doc_id, text, k, node, members.select(F.col("node").alias("a"), "seed", turn.alias("part")), members.select("node", "seed", "part"), num, den)
 
     # the matrix: documents against the parts near them that hold anything not yet connected with them
     comp = components(links)
@@ -267,7 +269,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     single = settle(near(meets.filter("alone").select("a", F.col("seed").alias("b"))).select("a", F.col("b").alias("seed"), F.lit(0).alias("part")))
     meets2 = settle(meets.filter("NOT alone").select("a", "seed", "part").unionByName(single))
     alone = single.select(F.col("seed").alias("node"), "seed", "part").distinct()
-    more = _open_groups(docs, doc_id, text, k, rows, meets2, settle(info.join(meets2.select("seed", "part").distinct(), ["seed", "part"], "left_semi").select("node", "seed", "part").unionByName(alone).distinct()), num, den)
+    more = _open_groups(docs, doc_id, text, k, node, meets2, settle(info.join(meets2.select("seed", "part").distinct(), ["seed", "part"], "left_semi").select("node", "seed", "part").unionByName(alone).distinct()), num, den)
     discard(node, bucket, meets)
     return rows.select("doc_id", "n", "node"), links.unionByName(more)
 
