@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gathered(batches: Iterator[pa.RecordBatch], least: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``least`` bytes: the more words at once, the fewer distinct ones in all."""
     held, size = [], 0
     for b in batches:

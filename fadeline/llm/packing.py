@@ -41,7 +41,7 @@ class Tokens:
     differ from the library's order of steps are left to the library as they are, word by word.
     """
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 700_000, cached_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -49,7 +49,7 @@ class Tokens:
             spec = json.load(f)
         self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self._last[[i for s, i in spec["model"]["vocab"].items() if s.endswith("</w>")]] = True
-        self._cached, self._words, self._pieces = cached, {}, {}
+        self._cached, self._cached_pieces, self._words, self._pieces = cached, cached_pieces, {}, {}
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -71,7 +71,7 @@ class Tokens:
         known = self._words
         if len(known) > self._cached:
             known.clear()
-        if len(self._pieces) > self._cached:
+        if len(self._pieces) > self._cached_pieces:
             self._pieces.clear()
         found = list(map(known.get, words))
         if missing := [k for k, f in enumerate(found) if f is None]:
