@@ -59,27 +59,29 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[keep], got[keep], value[keep]
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int, half_lives: Sequence[float] = (90.0,), mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float | None = 365.0, keep: Column | None = None, cosine: bool = False) -> DataFrame:
+def top_k(base: DataFrame, queries: DataFrame, k: int, half_lives: Sequence[float] = (90.0,), mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float | None = 365.0, keep: Column | None = None, cosine: bool = False, group: str | None = None) -> DataFrame:
     """(half_life, qid, rank, id, score) of ``base(id, vec, ts_days)`` for ``queries(qid, qvec[, tau])``.
 
     Rows that ``keep`` rules out (by id, by a deleted flag, ...) are filtered before scoring, which Spark pushes
     into the scan. ``cosine`` scales both sides to length 1 first (zero vectors score 0). More than N is
-    never asked of N rows: a query gets min(k, N). Null vectors are no candidates. A query newer than a
+    never asked of N rows: a query gets min(k, N). With ``group``, an integer column of few values, the
+    k best of each of its values are found in the same pass, and it comes first in the result. Null vectors are no candidates. A query newer than a
     row scores it by its age; whether rows may be newer is for ``audit.require_past`` to check first.
     """
     if k < 1:
         raise ValueError("k must be positive")
     modes = [(h, decay_rate(h)) for h in half_lives]
-    rows = (base if keep is None else base.filter(keep)).select("id", F.col("vec").cast("array<float>").alias("vec"), F.col("ts_days").cast("double").alias("ts")).filter("vec IS NOT NULL AND id IS NOT NULL")
+    part = F.lit(0) if group is None else F.col(group)
+    rows = (base if keep is None else base.filter(keep)).select("id", F.col("vec").cast("array<float>").alias("vec"), F.col("ts_days").cast("double").alias("ts"), part.cast("bigint").alias("part")).filter("vec IS NOT NULL AND id IS NOT NULL AND part IS NOT NULL")
     asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("qvec").cast("array<float>").alias("qvec"), (F.lit(float(tau)) if tau is not None else F.col("tau").cast("double")).alias("tau"))
     n, width = asked.agg(F.count("*"), F.max(F.size("qvec"))).first()
     blocks = max(1, -(-n * (width or 1) * 8 // BLOCK))
     out = None
     for i in range(blocks):
-        part = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).orderBy("qid").toArrow()
-        found = _block(rows, part, k, modes, mode, alpha, cosine)
+        block = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).orderBy("qid").toArrow()
+        found = _block(rows, block, k, modes, mode, alpha, cosine)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.drop("part") if group is None else out.withColumnRenamed("part", group)
 
 
 def _block(rows: DataFrame, part: pa.Table, k: int, modes: list[tuple[float, float]], mode: Mode, alpha: float, cosine: bool) -> DataFrame:
@@ -91,33 +93,36 @@ def _block(rows: DataFrame, part: pa.Table, k: int, modes: list[tuple[float, flo
 
     def search(batches):
         qids, tau, q = sent.value
-        best = [(np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), np.int64)) for _ in modes]
-        for b in batches:
-            if not len(b) or not len(qids):
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            if not len(whole) or not len(qids):
                 continue
-            x = b["vec"].flatten().to_numpy().astype(np.float64).reshape(len(b), -1)
-            if cosine:
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            ids, ts = b["id"].to_numpy(), b["ts"].to_numpy()
-            semantic = q @ x.T
-            for m, (_, rate) in enumerate(modes):
-                if mode is Mode.SEMANTIC:
-                    s = semantic
-                else:
-                    fresh = np.exp(-rate * (tau[:, None] - ts[None, :]))
-                    s = semantic * fresh if mode is Mode.MULTIPLICATIVE else alpha * semantic + (1 - alpha) * fresh
-                old_s, old_i = best[m]
-                row, got, value = _best(np.hstack([old_s, s]), np.hstack([old_i, np.broadcast_to(ids, s.shape)]), k)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                new_s, new_i = np.full_like(old_s, -np.inf), np.zeros_like(old_i)
-                new_s[row, place], new_i[row, place] = value, got
-                best[m] = new_s, new_i
-        for (half_life, _), (s, i) in zip(modes, best, strict=True):
+            parts = whole["part"].to_numpy()
+            for g in np.unique(parts).tolist():
+                b = whole if (parts == g).all() else whole.filter(pa.array(parts == g))
+                x = b["vec"].flatten().to_numpy().astype(np.float64).reshape(len(b), -1)
+                if cosine:
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                ids, ts = b["id"].to_numpy(), b["ts"].to_numpy()
+                semantic = q @ x.T
+                for m, (_, rate) in enumerate(modes):
+                    if mode is Mode.SEMANTIC:
+                        s = semantic
+                    else:
+                        fresh = np.exp(-rate * (tau[:, None] - ts[None, :]))
+                        s = semantic * fresh if mode is Mode.MULTIPLICATIVE else alpha * semantic + (1 - alpha) * fresh
+                    old_s, old_i = best.get((g, m)) or (np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), np.int64))
+                    row, got, value = _best(np.hstack([old_s, s]), np.hstack([old_i, np.broadcast_to(ids, s.shape)]), k)
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    new_s, new_i = np.full_like(old_s, -np.inf), np.zeros_like(old_i)
+                    new_s[row, place], new_i[row, place] = value, got
+                    best[g, m] = new_s, new_i
+        for (g, m), (s, i) in best.items():
             row, col = np.nonzero(s > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), half_life)), pa.array(qids[row]), pa.array(i[row, col]), pa.array(s[row, col])], names=["half_life", "qid", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), g)), pa.array(np.full(len(row), modes[m][0], float)), pa.array(qids[row]), pa.array(i[row, col]), pa.array(s[row, col])], names=["part", "half_life", "qid", "id", "score"])
 
-    found = rows.select("id", "vec", "ts").mapInArrow(search, "half_life double, qid bigint, id bigint, score double")
-    return rank(found, k, ("half_life", "qid")).select("half_life", "qid", "rank", "id", "score")
+    found = rows.select("id", "vec", "ts", "part").mapInArrow(search, "part bigint, half_life double, qid bigint, id bigint, score double")
+    return rank(found, k, ("part", "half_life", "qid")).select("part", "half_life", "qid", "rank", "id", "score")
 
 
 def nearest_first(found: DataFrame, by: str = "distance") -> DataFrame:

@@ -47,6 +47,21 @@ def replay(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 5
     placed.unpersist()
 
 
+def every_checkpoint(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 50, batch_percent: int = 5, half_life: float = 90.0, mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float = 365.0) -> DataFrame:
+    """(checkpoint, qid, rank, id, score) of all checkpoints from one pass over the rows.
+
+    Each batch's own k best are found once; a checkpoint's result is the k best among those of the
+    batches up to it. The same rows as ``replay`` gives one after the other.
+    """
+    initial, batch, batches = checkpoint_sizes(base.count(), initial_percent, batch_percent)
+    if initial < k:
+        raise ValueError("the initial rows can't fill a result")
+    placed = arrival_order(base).withColumn("batch", checkpoint_of("pos", initial, batch))
+    own = top_k(placed, queries, k, (half_life,), mode, alpha, tau, group="batch")
+    later = own.withColumn("checkpoint", F.explode(F.sequence(F.col("batch"), F.lit(batches).cast("bigint"))))
+    return rank(later, k, ("checkpoint", "qid")).select("checkpoint", "qid", "rank", "id", "score")
+
+
 def replay_with_index(index_insert: Callable[[int, DataFrame], Callable[[int], DataFrame]], base: DataFrame, queries: DataFrame, k: int, efs: Sequence[int], stop_recall: float | None = None, least_efs: int = 1, **how) -> list[dict]:
     """Recall by checkpoint and breadth. ``index_insert(checkpoint, rows)`` takes the new rows in and gives a search.
 
