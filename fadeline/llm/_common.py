@@ -22,6 +22,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Look-up tables that operators keep in a worker process between batches.
+KEPT: list[dict] = []
+
+
+def forget() -> None:
+    """Empty the tables that other operators have left in this worker process, which Spark uses again and again."""
+    for table in KEPT:
+        table.clear()
+
+
 def gathered(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``least`` bytes: the more words at once, the fewer distinct ones in all."""
     held, size = [], 0

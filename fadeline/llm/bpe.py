@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import gathered
+from fadeline.llm._common import KEPT, gathered
 
 #: Fixed by the format: how byte-level vocabularies spell bytes as printable characters.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -339,6 +339,7 @@ class Bpe:
 
 
 _LOADED: dict[str, Bpe] = {}
+KEPT.append(_LOADED)
 
 
 def loaded(path: str) -> Bpe:

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, settle, sieve, without
+from fadeline.llm._common import discard, forget, settle, sieve, without
 from fadeline.llm.components import components
 from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 
 #: The sketch: 2**22 cells, of which the ORDER_CELLS fullest are sent to executors (about 1 MB), whatever the input.
 CELL_BITS, CELL_LEAST, ORDER_CELLS = 22, 64, 1 << 17
 #: Largest number of members in a part of a group, and of queries held against it in one task.
-GROUP, QUERIES = 128, 1024
+GROUP, QUERIES = 128, 256
 
 
 def least_shared(n: int, num: int, den: int) -> int:
@@ -58,6 +58,7 @@ def token_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """A level from 0 to 63 for each cell of the sketch; a higher level means more frequent."""
 
     def count(batches):
+        forget()
         total, waiting, n_waiting = np.zeros(1 << CELL_BITS, np.int32), [], 0
         for b in batches:
             for _, data, cuts in text_slices(b[0]):
@@ -88,6 +89,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
     level = docs.sparkSession.sparkContext.broadcast(token_order(docs, text, k))
 
     def sets(batches):
+        forget()
         rank = level.value
         for b in batches:
             size, node, parity, prefix = [], [], [], []
@@ -150,7 +152,7 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, node: DataFram
     queries = (meets.join(many, ["seed", "part"]).select(F.col("a").alias("node"), "seed", "part", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("held")))
     held = (members.join(many, ["seed", "part"]).select("node", "seed", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("held")))
     seats = settle(queries.unionByName(held).join(node.select("node", "name", "doc_id"), "node"))
-    bins = max(1, seats.count() // 512)
+    bins = max(1, seats.count() // 256)
     seats = seats.withColumn("bin", F.pmod(F.xxhash64("seed", "part", "slice"), F.lit(bins)).cast("int"))
 
     def compare(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int]]:

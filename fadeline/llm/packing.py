@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fadeline.llm._common import gathered, settle
+from fadeline.llm._common import KEPT, gathered, settle
 
 #: Pieces in a shard, on average; a bin that is fuller than WELL is final.
 SHARD, WELL = 16_384, 0.998
@@ -121,6 +121,7 @@ class Tokens:
 
 
 _LOADED: dict[str, Tokens] = {}
+KEPT.append(_LOADED)
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, settle
+from fadeline.llm._common import discard, forget, settle
 from fadeline.llm.shingles import text_slices, word_hashes
 
 #: Documents that train the scorer, at most: those with the smallest hashes of id and text.
@@ -140,6 +140,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
     labellers = list(LABELLERS.values())
 
     def vote(batches):
+        forget()
         for b in batches:
             pattern, n_words, h = [], [], []
             for _, data, cuts in text_slices(b[1]):
