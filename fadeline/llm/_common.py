@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,6 +32,15 @@ def forget() -> None:
     """Empty the tables that other operators have left in this worker process, which Spark uses again and again."""
     for table in KEPT:
         table.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that Python and Arrow have freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        give_back(0)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, forget, settle, sieve, without
+from fadeline.llm._common import discard, forget, settle, sieve, trim, without
 from fadeline.llm.components import components
 from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 
@@ -295,6 +295,7 @@ def _texts_of(docs: DataFrame, doc_id: str, text: str, seats: DataFrame) -> Data
             b = b.filter(pa.array((maybe.value[at >> 5] >> (at & 31)) & 1 == 1))
             if b.num_rows:
                 yield b.select(["d", "t"])
+        trim()
 
     return (docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).select(F.col("doc_id").alias("d"), "t", bit.alias("bit"))
             .mapInArrow(wanted, "d bigint, t string"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, forget, settle
+from fadeline.llm._common import discard, forget, settle, trim
 from fadeline.llm.shingles import text_slices, word_hashes
 
 #: Documents that train the scorer, at most: those with the smallest hashes of id and text.
@@ -197,5 +197,6 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
             sn, ss, sp = n_words.to_numpy(), s.to_numpy(), p.to_numpy()
             kept = (sn > 0) & ((ss >= REJECT) | (sp >= 0.5) & (ss >= REJECT / 2) | (sn < LEAST_WORDS) & (sp >= 0.05))
             yield pa.RecordBatch.from_arrays([b[0], n_words, p, s, pa.array(kept)], names=["doc_id", "n_words", "posterior", "score", "kept"])
+        trim()
 
     return base.select("doc_id", "t").mapInArrow(score, "doc_id bigint, n_words bigint, posterior double, score double, kept boolean")
