@@ -263,7 +263,8 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
              .withColumn("mixed", F.max("comp").over(w) != F.min("comp").over(w)).filter("mixed").drop("mixed"))
     column = named.groupBy("token", "seed", "part", "parts", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("group_room"))
     column = column.select("token", F.col("seed").alias("group"), F.col("part").alias("group_part"), F.col("parts").alias("group_parts"), F.col("comp").alias("group_comp"), F.col("size").alias("group_size"), "low", "high", "group_room")
-    done = "seed = group AND (part = group_part OR group_part = (part + 1) % parts OR part = (group_part + 1) % parts)"
+    # only members of a group have been compared; a document without one may be the centre of another's (parts = 0 tells it apart)
+    done = "seed = group AND parts > 0 AND group_parts > 0 AND (part = group_part OR group_part = (part + 1) % parts OR part = (group_part + 1) % parts)"
     meets = settle(named.join(column, "token").filter("struct(size, comp) < struct(group_size, group_comp)").filter(f"NOT ({done})")
                    .filter((F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num))
                    .filter(fits("n", "low", F.col("room"), F.col("group_room")))

@@ -87,6 +87,19 @@ def test_jaccard_dense_groups_in_parts(spark, monkeypatch):
     assert got == brute_components(texts, 4, 85, 100)
 
 
+def test_jaccard_chains_of_revisions(spark):
+    rng, texts = random.Random(11), []
+    for c in range(60):
+        t = [f"c{c}w{i}" for i in range(rng.randint(40, 90))]
+        for _ in range(rng.randint(4, 16)):
+            texts.append(" ".join(t))
+            for _ in range(rng.randint(1, 2)):
+                t[rng.randrange(len(t))] = f"c{c}v{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs(spark, texts), k=4, num=85, den=100).collect())
+    assert got == brute_components(texts, 4, 85, 100)
+
+
 def test_jaccard_empty_repeats_and_nulls(spark):
     empty = docs(spark, ["x"]).limit(0)
     assert jaccard_join.jaccard_components(empty).count() == 0 and jaccard_join.keep_one(empty).count() == 0
