@@ -227,6 +227,16 @@ def test_html(spark):
     assert html_extract.shared_lines([1, 2, 3, 4], [9, 2, 4, 3]).sum() == 2
 
 
+def test_html_marks_are_whole_names():
+    kept = ['<h2 id="related-work">', '<section id="social-history">', '<section id="search-algorithms">', '<p class="notice-period">', '<h3 id="comments-on-method">', '<p id="notice">', '<div class="print-ad-history">', '<div data-id="search">', "<math>", "<object>"]
+    for tag in kept:
+        assert html_extract.blocks(f"<article><p>a</p>{tag}text</article>")[-1] == (1, "text"), tag
+    gone = ['<div class="ad">', '<div class="box site-header">', '<div id="cookie-consent">', '<div class="ad_slot_2">', '<div role="search">', "<ul class=social-share-bar>", "<p class=notice>", '<section class="comments">']
+    for tag in gone:
+        assert html_extract.blocks(f"<article><p>a</p>{tag}text</article>")[-1] == (2, "text"), tag
+    assert html_extract.blocks("<p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math></p>") == [(0, "E = mc2")]
+
+
 def test_quality_counts(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + AWKWARD + ["a b c d e f g h i a b c d e f g h i", "x\nx\n\n \nx"]
     for r in quality_rules.judge(docs(spark, texts)).collect():
