@@ -227,6 +227,31 @@ def test_html(spark):
     assert html_extract.shared_lines([1, 2, 3, 4], [9, 2, 4, 3]).sum() == 2
 
 
+def test_html_copies_keep_their_articles(spark, monkeypatch):
+    page = lambda *article: "".join(f"<div>{x}</div>" for x in ("Home", "News", *article, "Foot"))
+    long = [f"A sentence of a long article, number {i}, with words of its own." for i in range(8)]
+    pages, want = [], []
+
+    def add(url, html, text):
+        pages.append((len(pages), url, html))
+        want.append(text)
+
+    for i in range(30):
+        add(f"http://h/a/{i:03}", page(f"Only on page {i}"), f"Only on page {i}")
+    for i in range(3):
+        add("http://h/b/1", page(*long), " ".join(long))
+        add(f"http://h/b/2{i}", page(*long[:-1], f"revised {i}"), " ".join([*long[:-1], f"revised {i}"]))
+    for i in range(40):
+        add(None, page("same") if i % 2 else page(*long), "same" if i % 2 else " ".join(long))
+    add("http://alone/1", page(*long), " ".join(["Home", "News", *long, "Foot"]))
+    add("http://alone/1", page(*long), " ".join(["Home", "News", *long, "Foot"]))
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for part in (1024, 16):
+        monkeypatch.setattr(html_extract, "PART", part)
+        got = {r.page_id: r.text for r in html_extract.extract(rows).collect()}
+        assert got == dict(enumerate(want)), part
+
+
 def test_html_marks_are_whole_names():
     kept = ['<h2 id="related-work">', '<section id="social-history">', '<section id="search-algorithms">', '<p class="notice-period">', '<h3 id="comments-on-method">', '<p id="notice">', '<div class="print-ad-history">', '<div data-id="search">', "<math>", "<object>"]
     for tag in kept:
