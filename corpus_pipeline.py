@@ -10,30 +10,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fadeline.llm import jaccard_join, packing, quality_classifier, quality_rules
-from fadeline.llm._common import settle, small_batches, without
+from fadeline.llm._common import free_name, row_key, settle, small_batches, without
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose verdict is kept, by document id.
+def _keep(docs: DataFrame, judge) -> DataFrame:
+    """Rows of ``docs`` that ``judge(docs, row=...)`` keeps, each by its own verdict.
 
-    An id that occurs more than once stays only if all its rows are kept. Rows with a null id have no
-    verdict that could be told from another's, and go.
+    A row is told from others by what it holds, its id (null or not), text and language; rows that agree in
+    all of these are judged alike.
     """
-    return without(docs.filter("doc_id IS NOT NULL"), "doc_id", verdicts.filter("NOT kept").select("doc_id"))
+    row = free_name(docs, "__row")
+    named = docs.withColumn(row, row_key("doc_id", "text", "lang"))
+    gone = settle(judge(named, row=row).filter("NOT kept").select(row).distinct())
+    return without(named, row, gone).select(*docs.columns)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return _keep(docs, settle(quality_classifier.classify(docs).select("doc_id", "kept")))
+    return _keep(docs, quality_classifier.classify)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return _keep(docs, settle(quality_rules.judge(docs).select("doc_id", "kept")))
+    return _keep(docs, quality_rules.judge)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; of each group the document with the smallest id stays."""
+    """Five-word shingles, similarity 0.8 or more; of each group the document with the smallest id stays, of several with that id one."""
     small_batches(spark)
     return jaccard_join.keep_one(docs).select(*docs.columns)
 

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -120,6 +120,11 @@ def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return sure.unionByName(unsure.join(gone.toDF(name), F.col(key) == F.col(name), "left_anti"))
 
 
+def row_key(*columns: str) -> Column:
+    """A 64-bit name of what a row holds in ``columns``: equal contents, equal names; a null is a content like others."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that ``df`` doesn't use as a column."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, forget, settle, sieve, trim, without
+from fadeline.llm._common import discard, forget, free_name, row_key, settle, sieve, trim, without
 from fadeline.llm.components import components
 from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 
@@ -84,9 +84,10 @@ def token_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
     return level
 
 
-def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, node, parity, prefix) of every document; ``node`` is null for a set without tokens."""
+def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, row: str | None = None) -> DataFrame:
+    """(doc_id, n, node, parity, prefix[, row]) of every document, with the bigint column ``row`` as it is; ``node`` is null for a set without tokens."""
     level = docs.sparkSession.sparkContext.broadcast(token_order(docs, text, k))
+    through = [row] if row else []
 
     def sets(batches):
         forget()
@@ -107,10 +108,10 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
                 # 48 bits are enough to meet by: a chance meeting costs a comparison, never a result
                 prefix.append((u[order[: n - least_shared(n, num, den) + 1]] >> np.uint64(16)).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parity, longs), pa.array(prefix, longs)], names=["doc_id", "n", "node", "parity", "prefix"])
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parity, longs), pa.array(prefix, longs), *b.columns[2:]], names=["doc_id", "n", "node", "parity", "prefix", *through])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(
-        sets, "doc_id bigint, n bigint, node bigint, parity array<bigint>, prefix array<bigint>")
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"), *through).mapInArrow(
+        sets, "doc_id bigint, n bigint, node bigint, parity array<bigint>, prefix array<bigint>" + "".join(f", `{c}` bigint" for c in through))
 
 
 def _apart(a: str, b: str):
@@ -209,18 +210,19 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, node: DataFram
     return links
 
 
-def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """``(documents, links)``: documents (doc_id, n, node) and links (a, b) between distinct sets.
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(documents, links)``: documents (doc_id, n, node[, row]) and links (a, b) between distinct sets.
 
     Two sets link when ``den * |A & B| >= num * |A | B|``. The links are complete in this sense: two
     different sets that link are connected by them, directly or over others that link. Copies of a
     set share a node. A document without words (or with null text) has n = 0 and a null node.
     """
-    fat = settle(document_sets(docs, doc_id, text, k, num, den))
+    fat = settle(document_sets(docs, doc_id, text, k, num, den, row))
+    through = [row] if row else []
     # from here on a set goes by a dense number, which travels in fewer bytes than its name
     node = settle(fat.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("n", "parity", "prefix")).alias("x"), F.min("doc_id").alias("doc_id"))
                   .select(F.col("node").alias("name"), "x.*", "doc_id", F.monotonically_increasing_id().alias("node")))
-    rows = settle(fat.select("doc_id", "n", F.col("node").alias("name")).join(node.select("name", "node"), "name", "left").select("doc_id", "n", "node"))
+    rows = settle(fat.select("doc_id", "n", F.col("node").alias("name"), *through).join(node.select("name", "node"), "name", "left").select("doc_id", "n", "node", *through))
     discard(fat)
     w = Window.partitionBy("token")
     # a first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``;
@@ -274,7 +276,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     alone = single.select(F.col("seed").alias("node"), "seed", "part").distinct()
     more = _open_groups(docs, doc_id, text, k, node, meets2, settle(info.join(meets2.select("seed", "part").distinct(), ["seed", "part"], "left_semi").select("node", "seed", "part").unionByName(alone).distinct()), num, den)
     discard(node, bucket, meets)
-    return rows.select("doc_id", "n", "node"), links.unionByName(more)
+    return rows, links.unionByName(more)
 
 
 def _texts_of(docs: DataFrame, doc_id: str, text: str, seats: DataFrame) -> DataFrame:
@@ -320,13 +322,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
     All columns stay. Documents without words, and those with a null id, all stay. Of rows that
-    repeat an id and a text, one stays.
+    repeat an id and a text, one stays. Rows are told apart by id and text: where several texts of a group
+    have its smallest id, that with the smallest hash stays, and a text of another group isn't touched by it.
     """
-    comp = jaccard_components(docs, doc_id, text, k, num, den).filter("doc_id IS NOT NULL")
-    ids = settle(comp.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows")))
-    kept = without(docs, doc_id, ids.filter("NOT first").select("doc_id"))
-    repeated = ids.filter("rows > 1").select("doc_id")
-    if not repeated.limit(1).count():
-        return kept
-    again = kept.join(repeated.withColumnRenamed("doc_id", "__again"), F.col(doc_id) == F.col("__again"), "left_semi")
-    return without(kept, doc_id, repeated).unionByName(again.dropDuplicates([doc_id]))
+    row = free_name(docs, "__row")
+    named = docs.withColumn(row, F.when(F.col(doc_id).isNotNull(), row_key(doc_id, text)))
+    rows, links = jaccard_links(named, doc_id, text, k, num, den, row)
+    rows = settle(rows.filter("doc_id IS NOT NULL").join(components(links), "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"), row)
+                  .groupBy("doc_id", "comp", row).agg(F.count("*").alias("rows")))
+    first = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", row))[row].alias("first"))
+    kept = without(named, row, rows.join(first, "comp").filter(F.col(row) != F.col("first")).select(row))
+    repeated = rows.filter("rows > 1").select(row)
+    if repeated.limit(1).count():
+        again = kept.join(repeated.withColumnRenamed(row, "__again"), F.col(row) == F.col("__again"), "left_semi")
+        kept = without(kept, row, repeated).unionByName(again.dropDuplicates([row]))
+    return kept.select(*docs.columns)

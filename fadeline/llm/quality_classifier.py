@@ -129,8 +129,8 @@ def train(index: np.ndarray, value: np.ndarray, owner: np.ndarray, target: np.nd
     return w
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, n_words, posterior, score, kept) of every row.
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, row: str | None = None) -> DataFrame:
+    """(doc_id, n_words, posterior, score, kept[, row]) of every row; ``row`` names a bigint column that goes through.
 
     ``posterior`` is the weak labels' probability of good, ``score`` the scorer's. A document is
     kept if its score reaches ``REJECT``, or if the scorer and the labellers don't agree that it is bad. Null
@@ -196,7 +196,9 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
             n_words, p, s = join(n_all, pa.int64()), join(p_all, pa.float64()), join(s_all, pa.float64())
             sn, ss, sp = n_words.to_numpy(), s.to_numpy(), p.to_numpy()
             kept = (sn > 0) & ((ss >= REJECT) | (sp >= 0.5) & (ss >= REJECT / 2) | (sn < LEAST_WORDS) & (sp >= 0.05))
-            yield pa.RecordBatch.from_arrays([b[0], n_words, p, s, pa.array(kept)], names=["doc_id", "n_words", "posterior", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b[0], n_words, p, s, pa.array(kept), *b.columns[2:]], names=["doc_id", "n_words", "posterior", "score", "kept", *through])
         trim()
 
-    return base.select("doc_id", "t").mapInArrow(score, "doc_id bigint, n_words bigint, posterior double, score double, kept boolean")
+    through = [row] if row else []
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"), *through)
+    return rows.mapInArrow(score, "doc_id bigint, n_words bigint, posterior double, score double, kept boolean" + "".join(f", `{c}` bigint" for c in through))

@@ -34,7 +34,7 @@ LEAST_WORDS, LEAST_COMMON, MOST_CHARS, MOST_WORDS, TRIM = 20, 60, 0.19, 0.32, 0.
 WINDOW = 8
 
 
-def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None) -> DataFrame:
     """One row per document with the counts that rules and histograms need; a null text has no words.
 
     ``n_repeat_words``: words in windows of ``WINDOW`` words that occur twice or more. Windows are told
@@ -43,7 +43,8 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = lambda k: F.length(F.regexp_replace("t", CLASSES[k], ""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), t.alias("t"))
+    through = [row] if row else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), t.alias("t"), *through)
     rows = rows.select("*", F.length("t").cast("bigint").alias("n_chars"), F.filter(F.split("t", CLASSES["space"]), lambda w: w != "").alias("words"),
                        F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     rows = rows.select("*", F.size("words").cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"))
@@ -52,7 +53,7 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     for code, words in COMMON.items():
         signs = F.when(F.col("lang") == code, _signs(words)).otherwise(signs)
     rows = rows.select(
-        "doc_id", "lang", "n_words", "n_chars", "word_chars", signs.alias("signs"),
+        "doc_id", "lang", "n_words", "n_chars", "word_chars", signs.alias("signs"), *through,
         *((F.col("n_chars") - out(k)).cast("bigint").alias(f"c_{k}") for k in CLASSES if k != "space"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.col("n_words") > WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).alias("hashes"),
@@ -64,7 +65,7 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
                           lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
     return rows.select(
-        "doc_id", "lang", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        "doc_id", *through, "lang", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
         _shares([F.col("n_chars") - F.col("word_chars"), *(F.col(f"c_{k}") for k in CLASSES if k != "space")], F.col("n_chars")).alias("chars"),
         _shares([F.length("signs") - F.length(F.replace("signs", F.lit(x), F.lit(""))) for x in _SIGNS], F.col("n_words")).alias("common"),
     )
@@ -89,8 +90,10 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(halves, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept).
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", row: str | None = None) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept[, row]).
+
+    ``row`` names a column that goes through.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated windows. The references
     are means over all documents of a language that pass the base, made twice, the second time without
@@ -99,7 +102,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     A document that passes the base is kept if both distances stay within bounds; repeated rows and
     ids are judged row by row. Null and empty texts have no words and fail the base.
     """
-    rows = settle(base_counts(docs, doc_id, text, lang).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    rows = settle(base_counts(docs, doc_id, text, lang, row).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
                   .withColumn("group", F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise("other")))
     mean = lambda c, n: F.array(*(F.avg(F.col(c)[i]) for i in range(n)))
 
@@ -111,4 +114,4 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     held = held_against(held_against(rows.filter("NOT base_failed")).filter(~F.col("base_failed") & (F.col("char_distance") <= TRIM)))
     fine = (F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHARS) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORDS)
-    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & fine).alias("kept"))
+    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & fine).alias("kept"), *([row] if row else []))

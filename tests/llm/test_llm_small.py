@@ -351,6 +351,29 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_judges_row_by_row(spark):
+    import corpus_pipeline
+
+    raw = spark.read.parquet(f"{SF}/documents.parquet")
+    good = corpus_pipeline.rules(spark, corpus_pipeline.classify(spark, raw, SF), SF).orderBy("doc_id").limit(3).collect()
+    plain = [r.asDict() for r in good]
+    bad = plain[0] | {"text": "x # | # x"}
+    odd = spark.createDataFrame([plain[0], bad, plain[1] | {"doc_id": None}, bad | {"doc_id": None}], raw.schema)
+    rest = raw.filter(~raw.doc_id.isin([r.doc_id for r in good]))
+    for stage in (corpus_pipeline.classify, corpus_pipeline.rules):
+        got = {(r.doc_id, r.text) for r in stage(spark, rest.unionByName(odd), SF).collect()}
+        assert (good[0].doc_id, good[0].text) in got and (None, good[1].text) in got
+        assert (good[0].doc_id, bad["text"]) not in got and (None, bad["text"]) not in got
+
+
+def test_keep_one_tells_rows_by_id_and_text(spark):
+    a, b, near = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z", "a b c d e f g h i j k l m n o z"
+    rows = [(1, a), (1, b), (1, a), (2, near), (2, "other words than those above here"), (3, a), (4, b), (None, a), (5, ""), (5, " "), (5, "")]
+    got = sorted(jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), k=2).collect(), key=str)
+    want = [(1, a), (1, b), (2, "other words than those above here"), (None, a), (5, ""), (5, " ")]
+    assert [tuple(r) for r in got] == [tuple(r) for r in sorted((tuple(r) for r in want), key=lambda r: next(str(x) for x in got if tuple(x) == r))]
+
+
 def test_digest_columns(spark):
     from fadeline.llm import queries
 
