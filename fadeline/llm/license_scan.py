@@ -131,7 +131,8 @@ def scan(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
     rows = rows.withColumn("__row", F.xxhash64("key", "path", "text"))
     texts = settle(read_texts(rows, "__row", "text"))
-    found = settle(best_segments(texts, term_weights(texts)).withColumnRenamed("key", "__row"))
+    once = texts.filter("segments IS NOT NULL").dropDuplicates(["key"])  # repeated rows count in the weights, but hold their segments once
+    found = settle(best_segments(once, term_weights(texts)).withColumnRenamed("key", "__row"))
     slim = rows.select("key", "path", "__row")
     labelled = settle(slim.join(found, "__row", "left").drop("__row"))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))

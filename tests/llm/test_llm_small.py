@@ -333,6 +333,13 @@ def test_licenses(spark):
     assert license_scan.scan(spark.createDataFrame([], "key string, path string, text string"), "key", "path", "text").count() == 0
 
 
+def test_licenses_of_repeated_rows(spark):
+    long = "Licensed under the Apache License, Version 2.0.\n" + "int f(int a) { return a; } " * 9
+    files = [("a", "p/x.c", long)] * 20 + [("b", "p/y.c", "nothing"), ("c", "p/z.c", "nothing")]
+    got = {(r.key, r.license, r.n_segments) for r in license_scan.scan(spark.createDataFrame(files, "key string, path string, text string"), "key", "path", "text").collect()}
+    assert got == {("a", "Apache-2.0", 1), ("b", None, 0), ("c", None, 0)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from fadeline.llm.quality_classifier import classify
