@@ -35,9 +35,22 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
+    ("MIT", "The MIT License"),
+    ("MIT", "This project is licensed under the MIT License - see the LICENSE.md file for details"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("Apache-2.0", "This project is licensed under the Apache License 2.0 - see the LICENSE.md file for details"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")),
 ]
 #: Words that say nothing about a licence by themselves.
-_COMMON = frozenset("a and any by except except file files for form forms from in into is may not of or person source the this to under use used version with without work you are code free subject terms copy public general released rights all domain software".split())
+_COMMON = frozenset("a and any by except except file files for form forms from in into is may not of or person source the this to under use used version with without work you are code free subject terms copy public general released rights all domain software project see md details deal restriction including limitation modify merge publish distribute sell copies january 2004 http www org it as published either at your option later international creative to clause".split())
 #: Terms: runs of letters and digits; a dotted number stays whole.
 _TERM = r"[0-9]+(?:\.[0-9]+)+|[a-z0-9]+"
 _FILES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"

@@ -333,6 +333,19 @@ def test_licenses(spark):
     assert license_scan.scan(spark.createDataFrame([], "key string, path string, text string"), "key", "path", "text").count() == 0
 
 
+def test_licenses_of_real_notices(spark):
+    notices = [
+        ("MIT", "This project is licensed under the MIT License - see the LICENSE.md file for details"), ("MIT", "// SPDX-License-Identifier: MIT"), ("MIT", "The MIT License (MIT)"), (None, "MIT!!"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"), ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"),
+        ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.'),
+        *((f"{short}-3.0", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.") for short, name in (("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero "))),
+        ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."), (None, "Mit der Lizenz hat das nichts zu tun"), (None, "the project is published by a foundation"),
+    ]
+    texts = [x for _, x in notices] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(90).collect()]
+    rows = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "key bigint, path string, text string")
+    got = {r.key: r.license for r in license_scan.scan(rows, "key", "path", "text").collect()}
+    assert [got[i] for i in range(len(notices))] == [name for name, _ in notices]
+
+
 def test_licenses_of_repeated_rows(spark):
     long = "Licensed under the Apache License, Version 2.0.\n" + "int f(int a) { return a; } " * 9
     files = [("a", "p/x.c", long)] * 20 + [("b", "p/y.c", "nothing"), ("c", "p/z.c", "nothing")]
