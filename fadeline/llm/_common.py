@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +58,29 @@ def gathered(batches: Iterator[pa.RecordBatch], least: int = 8 << 20) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Integer columns of one length as compressed bytes; the first one must ascend and travels as differences."""
+    first = np.diff(columns[0], prepend=0)
+    planes = [np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (first, *columns[1:])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack_columns(packed: bytes, n: int) -> list[np.ndarray]:
+    """The ``n`` columns that ``pack_columns`` packed."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(n, 8, -1)
+    first, *rest = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in raw)
+    return [np.cumsum(first), *rest]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the session names none (tests on one machine) a temporary folder is set for it.
+    Where the session names none a temporary folder is set for it, on one machine (tests); on a cluster, which
+    wouldn't share it, that is an error.
     """
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="fadeline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -77,20 +96,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def delete(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/fadeline/" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more, and let Spark drop finished shuffles' files.
+    """``delete``, and let Spark drop finished shuffles' files.
 
     Spark's cleaner removes the files of shuffles that the driver's garbage collector has found
     unreachable, so the disk that a long query takes is that of its largest step, not of all steps.
     """
-    spark = SparkSession.getActiveSession()
-    jvm = spark._jvm
-    for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/fadeline/" in f}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(*tables)
     gc.collect()
-    jvm.System.gc()
+    SparkSession.getActiveSession()._jvm.System.gc()
 
 
 #: Bits of the filter by which most rows skip a join; it is at most 2**17 rows of 12 bytes, whatever the input.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import settle
+from fadeline.llm._common import delete, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,19 @@ def components(edges: DataFrame) -> DataFrame:
             up = label.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
             jumped = settle(label.join(up, "comp").select("node", F.col("up").alias("comp"), (F.col("up") != F.col("comp")).alias("moved")))
             moved = jumped.filter("moved").limit(1).count()
+            delete(label)
             label = jumped.select("node", "comp")
             if not moved:
                 break
         # edges between roots of different trees; loops go, so the edge list shrinks
         of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"r{c}"))
-        live = settle(live.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb")
+        before, live = live, settle(live.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb")
                       .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+        delete(before)
         hooks = live.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hook"))
         if live.limit(1).count() == 0:
+            delete(live)
             return label
-        label = settle(label.join(hooks, "node", "left").select("node", F.coalesce("hook", "comp").alias("comp")))
+        hooked = settle(label.join(hooks, "node", "left").select("node", F.coalesce("hook", "comp").alias("comp")))
+        delete(label)
+        label = hooked

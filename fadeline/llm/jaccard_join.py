@@ -5,8 +5,9 @@ token union bounds how much of a query document any member can hold, and only gr
 lets through are opened and compared member by member. All results are exact up to 64-bit hashes.
 
 1. ``token_order``: a fixed-size counting sketch over all documents ranks frequent shingles last.
-2. ``nodes``: one row per distinct set (copies collapse here, before any join) with its size, a
-   parity bitmap of 2 to 4 bits a token, and its prefix: the rarest tokens, one of which any partner must share.
+2. ``document_sets``: every document's set by name and size, a parity bitmap of 2 to 4 bits a token, and its
+   prefix: the rarest tokens, one of which any partner must share. Copies collapse by name before any join.
+   ``_buckets`` brings equal prefix tokens together in packed columns; tokens of one set alone end there.
 3. Groups: in every bucket of a prefix token each document meets one centre; documents near the same
    centre form a group, cut into parts of about ``GROUP`` members. Each part is compared with itself and
    the next one, which connects nearly all of a dense group at a cost linear in its size.
@@ -23,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import discard, forget, free_name, row_key, settle, sieve, trim, without
+from fadeline.llm._common import delete, discard, forget, free_name, gathered, pack_columns, row_key, settle, sieve, trim, unpack_columns, without
 from fadeline.llm.components import components
 from fadeline.llm.shingles import mix, shingle_hashes, text_slices
 
-#: The sketch: 2**22 cells, of which the ORDER_CELLS fullest are sent to executors (about 1 MB), whatever the input.
-CELL_BITS, CELL_LEAST, ORDER_CELLS = 22, 64, 1 << 17
+#: The sketch: 2**22 cells, of which the fullest, ORDER_CELLS at most, are sent to executors (about 1 MB), whatever the input.
+CELL_BITS, CELL_LEAST, ORDER_CELLS = 22, 16, 1 << 17
+#: Prefix tokens in a bucket of the exchange, on average; tokens of cells of level SPREAD and up are dealt over several.
+BUCKET, SPREAD = 1 << 17, 20
 #: Largest number of members in a part of a group, and of queries held against it in one task.
 GROUP, QUERIES = 128, 256
 
@@ -55,7 +60,10 @@ def _node(u: np.ndarray) -> int:
 
 
 def token_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """A level from 0 to 63 for each cell of the sketch; a higher level means more frequent."""
+    """A level from 0 to 63 for each cell of the sketch; a higher level means more frequent.
+
+    A task tells the cells that stand out of its own mean, and a cell's level is what it holds beyond the mean of all.
+    """
 
     def count(batches):
         forget()
@@ -73,34 +81,44 @@ def token_order(docs: DataFrame, text: str, k: int) -> np.ndarray:
                     waiting, n_waiting = [], 0
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.int32)
-        cells = np.flatnonzero(total >= 8)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
-
-    rows = (docs.select(F.col(text).alias("t")).mapInArrow(count, "cell int, n bigint")
-            .groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= CELL_LEAST)
-            .orderBy(F.desc("n"), "cell").limit(ORDER_CELLS).toPandas())
+        mean = total.mean()
+        cells = np.flatnonzero(total >= max(3, mean + 3 * mean**0.5))
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells] - int(mean), pa.int64())], names=["cell", "n"])
+
+    cells = settle(docs.select(F.col(text).alias("t")).mapInArrow(count, "cell int, n bigint")
+                   .groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= CELL_LEAST).withColumn("level", F.floor(F.log2("n"))))
+    # the highest levels, as many as the driver has room for
+    lowest, room = 64, ORDER_CELLS
+    for r in cells.groupBy("level").count().orderBy(F.desc("level")).collect():
+        if (room := room - r["count"]) < 0:
+            break
+        lowest = r["level"]
+    rows = cells.filter(F.col("level") >= lowest).select("cell", "level").toPandas()
+    delete(cells)
     level = np.zeros(1 << CELL_BITS, np.uint8)
-    level[rows["cell"].to_numpy(np.int64)] = np.log2(rows["n"].to_numpy(float)).astype(np.uint8) if len(rows) else 0
+    level[rows["cell"].to_numpy(np.int64)] = rows["level"].to_numpy(np.int64) if len(rows) else 0
     return level
 
 
-def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, row: str | None = None) -> DataFrame:
-    """(doc_id, n, node, parity, prefix[, row]) of every document, with the bigint column ``row`` as it is; ``node`` is null for a set without tokens."""
-    level = docs.sparkSession.sparkContext.broadcast(token_order(docs, text, k))
+def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, level, row: str | None = None) -> DataFrame:
+    """(doc_id, n, name, node, parity, prefix[, row]) of every document, with the bigint column ``row`` as it is.
+
+    ``name`` is the set's, null for one without tokens; ``node`` numbers the rows. ``level`` is the broadcast order of tokens.
+    """
     through = [row] if row else []
 
     def sets(batches):
         forget()
-        rank = level.value
+        rank, at = level.value, TaskContext.get().partitionId() << 33
         for b in batches:
-            size, node, parity, prefix = [], [], [], []
+            size, name, parity, prefix = [], [], [], []
             for _, u in _sets(b, "t", k):
                 n = len(u)
                 size.append(n)
                 if not n:
-                    node.append(None), parity.append(None), prefix.append(None)
+                    name.append(None), parity.append(None), prefix.append(None)
                     continue
-                node.append(_node(u))
+                name.append(_node(u))
                 width = max(64, 1 << (2 * n - 1).bit_length())
                 bits = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
@@ -108,10 +126,57 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
                 # 48 bits are enough to meet by: a chance meeting costs a comparison, never a result
                 prefix.append((u[order[: n - least_shared(n, num, den) + 1]] >> np.uint64(16)).view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parity, longs), pa.array(prefix, longs), *b.columns[2:]], names=["doc_id", "n", "node", "parity", "prefix", *through])
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(range(at, at + len(size)), pa.int64()), pa.array(parity, longs), pa.array(prefix, longs), *b.columns[2:]],
+                                             names=["doc_id", "n", "name", "node", "parity", "prefix", *through])
+            at += len(size)
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"), *through).mapInArrow(
-        sets, "doc_id bigint, n bigint, node bigint, parity array<bigint>, prefix array<bigint>" + "".join(f", `{c}` bigint" for c in through))
+        sets, "doc_id bigint, n bigint, name bigint, node bigint, parity array<bigint>, prefix array<bigint>" + "".join(f", `{c}` bigint" for c in through))
+
+
+def _buckets(sets: DataFrame, level, total: int) -> DataFrame:
+    """(token, node, n, room, centre, centre_order, centre_n, centre_room) for prefix tokens that more than one of ``sets(node, n, prefix)`` holds.
+
+    ``total``: about the number of prefix tokens. They travel as packed columns, a few bytes a token, to buckets of
+    about ``BUCKET``; those of very frequent cells go by their set's number as well, so that no token fills
+    a task (they keep rows that may be alone). A bucket's centre of a token is one set for all others to meet,
+    the first in an order that is the same for all tokens (``centre_order``), so that alike sets meet the same centres.
+    A first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``.
+    """
+    buckets = max(1, -(-total // BUCKET))
+    spread = lambda token, rank: rank[token >> (48 - CELL_BITS)]
+
+    def pack(batches):
+        rank = level.value
+        for b in gathered(batches):
+            lists = b["prefix"]
+            size = np.diff(lists.offsets.to_numpy())
+            token, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            node, n = b["node"].to_numpy()[owner], b["n"].to_numpy()[owner]
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            salt = node & ((1 << np.maximum(spread(token, rank).astype(np.int64) - SPREAD + 1, 0)) - 1)
+            bucket = (mix((token ^ (salt << 48)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((token, bucket))
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+            columns = [x[order] for x in (token, node, n, pos)]
+            ends = np.r_[cuts[1:], len(order)] if len(order) else []
+            blobs = [pack_columns([x[at:to] for x in columns]) for at, to in zip(cuts if len(order) else [], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts] if len(order) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        rank, parts = level.value, [unpack_columns(z, 4) for z in table["packed"].to_pylist()]
+        token, node, n, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        turn = (mix(node.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        order = np.lexsort((turn, token))
+        token, node, turn, n, room = token[order], node[order], turn[order], n[order], (n - pos)[order]
+        new = np.r_[True, token[1:] != token[:-1]]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # the centre is the set with the smallest hash
+        shared = ~new | np.r_[~new[1:], False] | (spread(token, rank) >= SPREAD)
+        at = first[shared]
+        return pa.table({"token": token[shared], "node": node[shared], "n": n[shared], "room": room[shared], "centre": node[at], "centre_order": turn[at], "centre_n": n[at], "centre_room": room[at]})
+
+    shape = "token bigint, node bigint, n bigint, room bigint, centre bigint, centre_order bigint, centre_n bigint, centre_room bigint"
+    return sets.select("node", "n", "prefix").mapInArrow(pack, "bucket bigint, packed binary").groupBy("bucket").applyInArrow(meet, shape)
 
 
 def _apart(a: str, b: str):
@@ -188,8 +253,9 @@ def _open_groups(docs: DataFrame, doc_id: str, text: str, k: int, node: DataFram
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        batch = table.select(["t"]).to_batches()[0] if len(table) else None
-        sets = [u.view(np.int64) for _, u in _sets(batch, "t", k)] if len(table) else []
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = pa.array([unpack(z) for z in table["t"].to_pylist()], pa.large_binary())
+        sets = [u.view(np.int64) for _, u in _sets(pa.RecordBatch.from_arrays([texts], names=["t"]), "t", k)]
         right = [_node(u) == n for u, n in zip(sets, table["name"].to_pylist(), strict=True)]  # another document may share an id
         table = table.drop_columns(["t", "name"]).append_column("set", pa.array(sets, pa.list_(pa.int64()))).filter(pa.array(right, pa.bool_()))
         table = table.sort_by([("seed", "ascending"), ("part", "ascending"), ("slice", "ascending"), ("held", "ascending")]).combine_chunks()
@@ -217,23 +283,18 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     different sets that link are connected by them, directly or over others that link. Copies of a
     set share a node. A document without words (or with null text) has n = 0 and a null node.
     """
-    fat = settle(document_sets(docs, doc_id, text, k, num, den, row))
+    level = docs.sparkSession.sparkContext.broadcast(token_order(docs, text, k))
+    node = settle(document_sets(docs, doc_id, text, k, num, den, level, row))
     through = [row] if row else []
-    # from here on a set goes by a dense number, which travels in fewer bytes than its name
-    node = settle(fat.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("n", "parity", "prefix")).alias("x"), F.min("doc_id").alias("doc_id"))
-                  .select(F.col("node").alias("name"), "x.*", "doc_id", F.monotonically_increasing_id().alias("node")))
-    rows = settle(fat.select("doc_id", "n", F.col("node").alias("name"), *through).join(node.select("name", "node"), "name", "left").select("doc_id", "n", "node", *through))
-    discard(fat)
-    w = Window.partitionBy("token")
-    # a first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``;
-    # size and room travel as one number
-    both = (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes")
-    part = lambda c, name: (F.shiftright(c, 32).alias(f"{name}n"), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{name}room"))
-    bucket = (node.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("node", "token", both)
-              .withColumn("c", F.min(F.struct(F.hash("node").alias("h"), F.col("node").alias("centre"), F.col("sizes").alias("centre_sizes"))).over(w))
-              .withColumn("far", F.max("node").over(w) != F.min("node").over(w)).filter("far"))
-    bucket = settle(bucket.select("node", "token", *part("sizes", ""), F.col("c.centre").alias("centre"), *part("c.centre_sizes", "centre_")))
-    discard()
+    # a set goes by the number of one of its rows; copies of it go no further than this
+    first = settle(node.filter("name IS NOT NULL").groupBy("name").agg(F.min("node").alias("first")))
+    rows = settle(node.select("doc_id", "n", "name", F.col("node").alias("own"), *through).join(first, "name", "left"))
+    copies = rows.filter("own <> first").select("own")
+    rows = rows.select("doc_id", "n", F.col("first").alias("node"), *through)
+    once = without(node.filter("name IS NOT NULL").select("node", "n", "prefix"), "node", copies)
+    total = node.select(F.sum(F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1)).first()[0] or 0
+    bucket = settle(_buckets(once, level, int(total)))
+    discard(first)
     slim = node.select("node", "n", "parity")
     side = lambda c: slim.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
     near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(_close("a", "b", num, den)).select("a", "b")
@@ -243,8 +304,8 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
     # groups: documents that look near the same centre; a document near none is a group by itself
     flat = bucket.filter("node <> centre").filter(open_("n", "centre_n") & fits("n", "centre_n", F.col("room"), F.col("centre_room")))
-    met = flat.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").filter(_within_two("a", "b", num, den)).select("a", "b")
-    seed = settle(met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.hash("b").alias("h"), "b"))["b"].alias("seed")))
+    met = flat.select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("centre_order").alias("h")).distinct().join(side("a"), "a").join(side("b"), "b").filter(_within_two("a", "b", num, den)).select("a", "b", "h")
+    seed = settle(met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("h", "b"))["b"].alias("seed")))
     # a centre without a centre of its own is a member of its group
     own = seed.select(F.col("seed").alias("node")).distinct().join(seed.select("node"), "node", "left_anti").select("node", F.col("node").alias("seed"))
     members = seed.unionByName(own)
@@ -259,10 +320,12 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     comp = comp.join(comp.groupBy("comp").agg(F.count("*").alias("size")), "comp")
     info = settle(members.join(comp, "node", "full").select("node", F.coalesce("seed", "node").alias("seed"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")))
     alone, some = sieve(bucket.select("node", "n", "room", "token"), "node", info.select("node"))  # most rows are of documents without a group or link
+    w = Window.partitionBy("token")
     named = (some.join(info, "node", "left")
              .select("token", "node", "n", "room", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("seed", "node").alias("seed"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(0)).alias("parts"))
-             .unionByName(alone.select("token", "node", "n", "room", F.col("node").alias("comp"), F.lit(1).cast("bigint").alias("size"), F.col("node").alias("seed"), F.lit(0).alias("part"), F.lit(0).cast("bigint").cast(info.schema["parts"].dataType).alias("parts")))
+             .unionByName(alone.select("token", "node", "n", "room", F.col("node").alias("comp"), F.lit(1).cast("bigint").alias("size"), F.col("node").alias("seed"), F.lit(0).alias("part"), F.lit(0).cast(info.schema["parts"].dataType).alias("parts")))
              .withColumn("mixed", F.max("comp").over(w) != F.min("comp").over(w)).filter("mixed").drop("mixed"))
+    named = settle(named).repartition("token")  # both sides of the matrix are made from this one exchange
     column = named.groupBy("token", "seed", "part", "parts", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("group_room"))
     column = column.select("token", F.col("seed").alias("group"), F.col("part").alias("group_part"), F.col("parts").alias("group_parts"), F.col("comp").alias("group_comp"), F.col("size").alias("group_size"), "low", "high", "group_room")
     # only members of a group have been compared; a document without one may be the centre of another's (parts = 0 tells it apart)
@@ -275,12 +338,12 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     meets2 = settle(meets.filter("NOT alone").select("a", "seed", "part").unionByName(single))
     alone = single.select(F.col("seed").alias("node"), "seed", "part").distinct()
     more = _open_groups(docs, doc_id, text, k, node, meets2, settle(info.join(meets2.select("seed", "part").distinct(), ["seed", "part"], "left_semi").select("node", "seed", "part").unionByName(alone).distinct()), num, den)
-    discard(node, bucket, meets)
+    discard(node, bucket, seed, members, info, named, meets, meets2, single)  # links and rows are tables of their own
     return rows, links.unionByName(more)
 
 
 def _texts_of(docs: DataFrame, doc_id: str, text: str, seats: DataFrame) -> DataFrame:
-    """(d, t): ids and texts of documents, of which those in ``seats(doc_id)`` are sure to be among them.
+    """(d, t): ids and compressed texts of documents, of which those in ``seats(doc_id)`` are sure to be among them.
 
     A bitmap of 2**22 bits over the wanted ids (half a MB, whatever the input) goes to the executors and
     rules out most others before anything is shuffled; the join with the seats settles the rest.
@@ -293,15 +356,16 @@ def _texts_of(docs: DataFrame, doc_id: str, text: str, seats: DataFrame) -> Data
     maybe = docs.sparkSession.sparkContext.broadcast(words)
 
     def wanted(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             at = b["bit"].to_numpy()
             b = b.filter(pa.array((maybe.value[at >> 5] >> (at & 31)) & 1 == 1))
             if b.num_rows:
-                yield b.select(["d", "t"])
+                yield pa.RecordBatch.from_arrays([b["d"], pa.array([pack((t.as_py() or "").encode()) for t in b["t"]], pa.binary())], names=["d", "t"])
         trim()
 
     return (docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).select(F.col("doc_id").alias("d"), "t", bit.alias("bit"))
-            .mapInArrow(wanted, "d bigint, t string"))
+            .mapInArrow(wanted, "d bigint, t binary"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -314,7 +378,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows, links = jaccard_links(docs, doc_id, text, k, num, den)
     joined = rows.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     joined = settle(joined)
-    least = joined.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # written, so that a large component's rows can be dealt over several tasks
+    least = settle(joined.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least")))
     return joined.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
