@@ -1,14 +1,16 @@
 """Best-fit packing of token pieces with a grouping genetic algorithm on islands.
 
 A chromosome is a list of whole bins. Crossover injects a parent's well-filled bins into another
-solution, deletes the bins that hold a piece twice, and best-fits the displaced pieces. Each shard of
-pieces is searched by islands that pass their elite to the next one in a ring. Shards are bounded in
-size; what lies in bins that aren't well filled moves on to fewer, fresh shards, round by round, as
-long as that at least halves it. So no task sees more than about ``SHARD`` pieces, whatever the input.
+solution, deletes the bins that hold a piece twice, and best-fits the displaced pieces. Pieces are dealt
+into shards of bounded size by row number; each shard is searched by several islands, every island a task's row of
+its own with its own population. Between epochs, which are written to the shared folder, islands pass their elite
+to the next one in a ring. What lies in bins that aren't well filled moves on to fewer, fresh shards, round by round,
+while a tenth of it finds a place for good. So no task sees more than about ``SHARD`` pieces, whatever the input.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import unicodedata
 import zlib
@@ -19,13 +21,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fadeline.llm._common import KEPT, gathered, settle
+from fadeline.llm._common import KEPT, delete, free_name, gathered, settle
 
 #: Pieces in a shard, on average; a bin that is fuller than WELL is final.
 SHARD, WELL = 16_384, 0.998
-ISLANDS, POPULATION, GENERATIONS, MIGRATE_EVERY = 2, 3, 6, 2
+#: Islands of a shard, solutions on an island, and generations in each of the epochs between which elites migrate.
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 3, 8, 3
 
 #: Texts with these are left to the library: characters whose lower case isn't one character, and special tokens.
 _ODD = "[\u0130]|<\\|(?:startoftext|endoftext)\\|>"
@@ -41,7 +43,7 @@ class Tokens:
     differ from the library's order of steps are left to the library as they are, word by word.
     """
 
-    def __init__(self, path: str, cached: int = 700_000, cached_pieces: int = 400_000):
+    def __init__(self, path: str, cached: int = 280_000, cached_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -49,7 +51,7 @@ class Tokens:
             spec = json.load(f)
         self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self._last[[i for s, i in spec["model"]["vocab"].items() if s.endswith("</w>")]] = True
-        self._cached, self._cached_pieces, self._words, self._pieces = cached, cached_pieces, {}, {}
+        self._cached, self._cached_pieces, self._words, self._older, self._pieces = cached, cached_pieces, {}, {}, {}
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -67,17 +69,24 @@ class Tokens:
                 self._pieces.update(zip(part, self._library(part), strict=True))
 
     def _resolve(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct lower-cased words."""
-        known = self._words
-        if len(known) > self._cached:
-            known.clear()
+        """The ids of distinct lower-cased words. Words are kept in two generations, so that the frequent ones outlive the rare."""
+        if len(self._words) > self._cached:
+            self._words, self._older = {}, self._words
+        known, older = self._words, self._older
         if len(self._pieces) > self._cached_pieces:
             self._pieces.clear()
         found = list(map(known.get, words))
-        if missing := [k for k, f in enumerate(found) if f is None]:
+        missing = []
+        for k in [k for k, f in enumerate(found) if f is None]:
+            if (raw := older.get(words[k])) is not None:
+                found[k] = known[words[k]] = raw
+            else:
+                missing.append(k)
+        if missing:
             cut, pieces, split = [], self._pieces, _PIECE.findall
             for k in missing:
-                cut.append(split(words[k]))
+                w = words[k]
+                cut.append([w] if w.isascii() and w.isalpha() else split(w))
             if new := list({p for ps in cut for p in ps if p not in pieces}):
                 self._learn(new)
             for k, ps in zip(missing, cut, strict=True):
@@ -151,16 +160,25 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return docs.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, shape)
 
 
+def filling(bins: list[list[int]], lengths: np.ndarray) -> np.ndarray:
+    """How much each bin holds."""
+    if not bins:
+        return np.zeros(0, np.int64)
+    size = np.fromiter(map(len, bins), np.int64, len(bins))
+    flat = np.fromiter(itertools.chain.from_iterable(bins), np.int64, int(size.sum()))
+    return np.add.reduceat(lengths[flat], np.cumsum(size) - size)
+
+
 def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
-    """``bins`` and the pieces of ``order``, each put where the least room is left over.
+    """``bins`` and the pieces of ``order`` in turn, each put where the least room is left over.
 
     A bit set of the rooms that occur finds the best fit in one step.
     """
     bins = bins if bins is not None else []
     at: dict[int, list[int]] = {}
     rooms = 0
-    for k, b in enumerate(bins):
-        if room := capacity - int(lengths[b].sum()):
+    for k, room in enumerate((capacity - filling(bins, lengths)).tolist()):
+        if room:
             at.setdefault(room, []).append(k)
             rooms |= 1 << room
     for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
@@ -181,98 +199,154 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int, bins: list[l
 
 def _fitness(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> float:
     """Fewer bins first; among equals, the more uneven filling, which leaves more to work with."""
-    fill = np.array([lengths[b].sum() for b in bins]) / capacity
+    fill = filling(bins, lengths) / capacity
     return float((fill**2).mean()) - len(bins)
 
 
 def _cross(a: list[list[int]], b: list[list[int]], lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    fill = np.array([lengths[x].sum() for x in b])
-    well = np.flatnonzero(fill >= np.quantile(fill, 0.25))
-    chosen = [b[i] for i in well[rng.random(len(well)) < 0.5]]
-    injected = np.zeros(len(lengths), bool)
-    for x in chosen:
-        injected[x] = True
-    clean, displaced = [], []
-    for x in a:
-        if injected[x].any():
-            displaced += [i for i in x if not injected[i]]
-        else:
-            clean.append(list(x))
-    displaced = np.array(displaced, np.int64)
+    """``b``'s well-filled bins in ``a``: half of those that are full, of the others the fuller ones rather."""
+    fill = filling(b, lengths) / capacity
+    chosen = [b[i] for i in np.flatnonzero(rng.random(len(b)) < np.where(fill >= WELL, 0.7, 0.5 * (fill >= np.quantile(fill, 0.25))))]
+    injected = np.zeros(len(lengths), np.int64)
+    injected[list(itertools.chain.from_iterable(chosen))] = 1
+    twice = filling(a, injected)  # a bin that holds what the injected ones hold goes
+    clean = [list(x) for x, n in zip(a, twice, strict=True) if not n]
+    displaced = np.array([i for x, n in zip(a, twice, strict=True) if n for i in x], np.int64)
+    displaced = displaced[injected[displaced] == 0]
     return best_fit(lengths, displaced[np.argsort(-lengths[displaced], kind="stable")], capacity, clean + [list(x) for x in chosen])
 
 
-def evolve(lengths: np.ndarray, capacity: int, seed: int = 0) -> list[list[int]]:
-    """Bins (lists of indexes) for ``lengths``; stops as soon as no packing can have fewer bins."""
+def settlers(lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> list[list[list[int]]]:
+    """An island's first population: best fits of the pieces in random orders."""
+    return [best_fit(lengths, rng.permutation(len(lengths)), capacity) for _ in range(POPULATION)]
+
+
+def evolve(island: list[list[list[int]]], lengths: np.ndarray, capacity: int, rng: np.random.Generator, generations: int = GENERATIONS) -> list[list[list[int]]]:
+    """The island's population, best first, after some generations; it stops where no packing can have fewer bins."""
     least = -(-int(lengths.sum()) // capacity)
-    rng = np.random.default_rng(seed)
-    first = best_fit(lengths, np.argsort(-lengths, kind="stable"), capacity)
-    if len(first) == least or len(lengths) < 3:
-        return first
-    islands = [[first] if not i else [] for i in range(ISLANDS)]
-    for island in islands:
-        while len(island) < POPULATION:
-            noisy = lengths * rng.uniform(0.85, 1.0, len(lengths))
-            island.append(best_fit(lengths, np.argsort(-noisy, kind="stable"), capacity))
-    score = lambda x: _fitness(x, lengths, capacity)
-    for g in range(1, GENERATIONS + 1):
-        for k, island in enumerate(islands):
-            i, j = rng.permutation(len(island))[:2]
-            child = _cross(island[i], island[j], lengths, capacity, rng)
-            islands[k] = sorted([*island, child], key=score, reverse=True)[:POPULATION]
-        if g % MIGRATE_EVERY == 0:
-            elite = [x[0] for x in islands]
-            for k in range(len(islands)):
-                islands[k][-1] = elite[k - 1]
-        best = max((x for island in islands for x in island), key=score)
-        if len(best) == least:
+    rated = lambda x: (_fitness(x, lengths, capacity), x)
+    best = lambda xs: sorted(xs, key=lambda x: x[0], reverse=True)[:POPULATION]
+    alive = best(map(rated, island))
+    for _ in range(generations):
+        if len(alive[0][1]) == least or len(lengths) < 3:
             break
-    return max((x for island in islands for x in island), key=score)
+        i, j = rng.permutation(len(alive))[:2]
+        alive = best([*alive, rated(_cross(alive[i][1], alive[j][1], lengths, capacity, rng))])
+    return [x for _, x in alive]
+
+
+def _coded(bins: list[list[int]], n: int) -> bytes:
+    """A solution as each piece's bin, four bytes a piece, compressed."""
+    bin_of = np.zeros(n, "<i4")
+    for k, b in enumerate(bins):
+        bin_of[b] = k
+    return zlib.compress(bin_of.tobytes(), 1)
+
+
+def _bins(coded: bytes) -> list[list[int]]:
+    bin_of = np.frombuffer(zlib.decompress(coded), "<i4")
+    order = np.argsort(bin_of, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1)]
+
+
+def _search(rest: DataFrame, shards: int, level: int, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """(shards, their best solutions) of ``rest(k, length)`` dealt into ``shards``; one row a shard."""
+
+    def gather(key, table):
+        order = np.lexsort((table["k"].to_numpy(), table["length"].to_numpy()))
+        k, n = (table[c].to_numpy()[order] for c in ("k", "length"))
+        return pa.table({"shard": [key[0].as_py()], "k": [k.astype("<i8").tobytes()], "lengths": [n.astype("<i4").tobytes()], "least": [-(-int(n.sum()) // capacity)]})
+
+    dealt = rest.select("k", "length", F.pmod(F.xxhash64("k", F.lit(level)), F.lit(shards)).alias("shard"))
+    groups = settle(dealt.groupBy("shard").applyInArrow(gather, "shard bigint, k binary, lengths binary, least bigint"))
+    shape = "shard bigint, island int, least bigint, bins bigint, solutions array<binary>"
+
+    def epoch(number: int):
+        def run(batches):
+            for b in batches:
+                out = []
+                for shard, island, least, lengths, solutions in zip(*(b[c].to_pylist() for c in ("shard", "island", "least", "lengths", "solutions")), strict=True):
+                    lengths = np.frombuffer(lengths, "<i4").astype(np.int64)
+                    rng = np.random.default_rng([level, number, shard, island])
+                    population = [_bins(x) for x in solutions] if solutions else settlers(lengths, capacity, rng)
+                    best = evolve(population, lengths, capacity, rng)
+                    out.append((shard, island, least, len(best[0]), [_coded(x, len(lengths)) for x in best]))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "island", "least", "bins", "solutions"])
+
+        return run
+
+    lengths = groups.select("shard", "lengths")
+    tasks = lambda rows: rows.repartition(max(1, min(shards * ISLANDS, 4096)), "shard", "island")
+    first = groups.select("shard", "least", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(None).cast("array<binary>").alias("solutions"))
+    state = settle(tasks(first).mapInArrow(epoch(0), shape))
+    for number in range(1, EPOCHS):
+        open_ = state.groupBy("shard").agg(F.min("bins").alias("bins"), F.min("least").alias("least")).filter("bins > least").select("shard")
+        if open_.limit(1).count() == 0:
+            break
+        elite = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("solutions", 1, 1).alias("guest"))
+        met = state.join(elite, ["shard", "island"]).join(lengths, "shard").withColumn("solutions", F.concat("guest", "solutions")).drop("guest")
+        before, state = state, settle(tasks(met).mapInArrow(epoch(number), shape))
+        delete(before)
+    best = settle(state.groupBy("shard").agg(F.min(F.struct("bins", "island", F.col("solutions")[0].alias("solution"))).alias("best")).select("shard", "best.solution"))
+    delete(state)
+    return groups, best
 
 
 def pack(rows: DataFrame, capacity: int = 4096, shard: int = SHARD) -> DataFrame:
     """``rows`` (with ``doc_id``, ``piece`` and ``length``) plus ``sequence_id`` and ``offset``.
 
-    Every row is packed, repeated ones too. Lengths must lie in 1..capacity (others raise). Offsets
-    run gapless from 0 in each sequence. An empty input gives an empty result.
+    Every row is packed, repeated ones and those with null ids too: rows go by a number of their own. Lengths must lie
+    in 1..capacity (others, and null, raise). Offsets run gapless from 0 in each sequence. An empty input gives an
+    empty result; other columns pass, but for those with the new names, which are replaced.
+
+    Searching again stops where less than a tenth of the pieces found a well-filled bin: these rows' last shards
+    keep the bins they have, each shard at most what its own best solution needs.
     """
-    def solve(last: bool, level: int):
-        def run(key, table):
-            lengths = table["length"].to_numpy()
-            order = np.lexsort((table["piece"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy(), lengths))
-            table, lengths = table.take(pa.array(order)), lengths[order]
-            if len(lengths) and (lengths.min() < 1 or lengths.max() > capacity):
-                raise ValueError(f"a piece's length is outside 1..{capacity}")
-            bin_of, offset, final = (np.zeros(len(lengths), t) for t in (np.int64, np.int64, bool))
-            shard_no = key[0].as_py()
-            for k, b in enumerate(evolve(lengths, capacity, seed=shard_no)):
-                bin_of[b] = (level << 56) | (shard_no << 24) | k
-                offset[b] = np.cumsum(lengths[b]) - lengths[b]
-                final[b] = last or lengths[b].sum() >= WELL * capacity
-            table = table.drop_columns(["__shard"])
-            for name, col in (("sequence_id", bin_of), ("offset", offset), ("__final", final)):
-                table = table.append_column(name, pa.array(col))
-            return table
+    k = free_name(rows, "__k")
+    rows = settle(rows.drop("sequence_id", "offset").withColumn(k, F.monotonically_increasing_id()))
+    bad = rows.filter(F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity))
+    if bad.limit(1).count():
+        raise ValueError(f"a piece's length is outside 1..{capacity}")
+    placed = []
+
+    def show(last: bool, level: int):
+        def run(batches):
+            for b in batches:
+                for no, ks, lengths, solution in zip(*(b[c].to_pylist() for c in ("shard", "k", "lengths", "solution")), strict=True):
+                    ks, n = np.frombuffer(ks, "<i8"), np.frombuffer(lengths, "<i4").astype(np.int64)
+                    bin_of, offset, final = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+                    for i, x in enumerate(_bins(solution)):
+                        bin_of[x] = (level << 56) | (no << 24) | i
+                        ends = np.cumsum(n[x])
+                        offset[x] = ends - n[x]
+                        final[x] = last or ends[-1] >= WELL * capacity
+                    yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(n), pa.array(bin_of), pa.array(offset), pa.array(final)], names=["k", "length", "sequence_id", "offset", "final"])
 
         return run
 
-    rows = settle(rows.drop("sequence_id", "offset"))
-    out_type = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("__final", T.BooleanType())])
     full = rows.filter(F.col("length") == capacity)
-    done = [full.withColumn("sequence_id", (F.lit(1 << 62) + F.monotonically_increasing_id()).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint"))]
-    rest = rows.filter((F.col("length") != capacity) | F.col("length").isNull())
+    done = [full.withColumn("sequence_id", (F.lit(1 << 62) + F.col(k)).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint"))]
+    rest = rows.filter(F.col("length") != capacity).select(F.col(k).alias("k"), F.col("length").cast("bigint").alias("length"))
     left, level = rest.count(), 0
-    while True:
-        shards = max(1, -(-left // shard))
-        got = settle(rest.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)))
-                     .groupBy("__shard").applyInArrow(solve(shards == 1, level), out_type))
-        before, left, level = left, got.filter("NOT __final").count(), level + 1
-        if 2 * left > before or not left:  # little more to gain: what is there stays as it is
-            done.append(got.drop("__final"))
+    while left:
+        shards = -(-left // shard)
+        groups, best = _search(rest, shards, level, capacity)
+        got = settle(groups.join(best, "shard").mapInArrow(show(shards == 1, level), "k bigint, length bigint, sequence_id bigint, offset bigint, final boolean"))
+        delete(groups, best)
+        before, left, level = left, got.filter("NOT final").count(), level + 1
+        enough = 10 * left > 9 * before
+        placed.append(got if enough else got.filter("final"))
+        if enough:
             break
-        done.append(got.filter("__final").drop("__final"))
-        rest = got.filter("NOT __final").select(*rows.columns)
+        rest = got.filter("NOT final").select("k", "length")
+    if placed:
+        spots = placed[0]
+        for x in placed[1:]:
+            spots = spots.unionByName(x)
+        done.append(rows.join(spots.select(F.col("k").alias(k), "sequence_id", "offset"), k))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.drop(k)

@@ -159,13 +159,38 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(docs(spark, ["x"]).limit(0), path)).count() == 0
 
 
-def test_packing_search_is_never_worse_than_its_start():
+def evolved(lengths, islands=packing.ISLANDS, epochs=packing.EPOCHS):
+    """The islands of one shard in one process, with migration, as the tasks do it."""
+    rngs = [np.random.default_rng(i) for i in range(islands)]
+    state = [packing.evolve(packing.settlers(lengths, 4096, r), lengths, 4096, r) for r in rngs]
+    for _ in range(1, epochs):
+        state = [packing.evolve([state[i - 1][0], *state[i]], lengths, 4096, rngs[i]) for i in range(islands)]
+    return min((x[0] for x in state), key=len)
+
+
+def test_packing_search_betters_its_start():
     rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 4096, 800)
-    first = packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 4096)
-    best = packing.evolve(lengths, 4096)
-    assert len(best) <= len(first) and sorted(i for b in best for i in b) == list(range(800))
-    assert all(lengths[b].sum() <= 4096 for b in best)
+    for lengths in (rng.integers(1, 4096, 800), rng.integers(1, 3000, 800), rng.integers(1000, 2500, 800)):
+        start = min(len(packing.best_fit(lengths, rng.permutation(800), 4096)) for _ in range(9))
+        best = evolved(lengths)
+        assert len(best) < start and sorted(i for b in best for i in b) == list(range(800))
+        assert all(lengths[b].sum() <= 4096 for b in best)
+        decreasing = len(packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 4096))
+        assert len(best) <= 1.01 * decreasing + 1
+        assert [sorted(x) for x in packing._bins(packing._coded(best, 800))] == [sorted(x) for x in best]
+
+
+def test_packing_repeats_nulls_and_clashes(spark):
+    rows = [(None, 0, 3000, 7)] * 9 + [(5, 0, 1000, 7)] * 9 + [(5, 1, 4096, 7)] * 2 + [(6, None, 96, 7)] * 9
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, __k int"), shard=8).collect()
+    assert Counter((r.doc_id, r.piece, r.length, r["__k"]) for r in got) == Counter(rows)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 4096 for x in bins.values())
+    for bad in (0, 4097, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, 0, bad)], "doc_id bigint, piece int, length bigint"))
 
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
