@@ -1,9 +1,8 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its inverse.
 
 The merge list fixes how far right a merge can depend on the text (``lookahead``). The transducer
-keeps, for every byte of a sliding buffer, the last token of the tokenisation that ends there. As
-soon as all positions where a later token could begin trace back to one common cut, the tokens
-before it are stable and leave. Memory is the buffer, however long the text.
+keeps, for every byte of a sliding buffer, the last token of the tokenisation that ends there. Tokens
+that lie further back than the lookahead are stable and leave. Memory is the buffer, however long the text.
 """
 
 from __future__ import annotations
@@ -48,9 +47,10 @@ class Bpe:
         self.rank = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(merges)}
         self.bytes = {i: s for s, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.longest = max(map(len, self.ids))
+        self._ends = {s[i:]: False for s in self.ids for i in range(len(s))} | dict.fromkeys(self.ids, True)  # whether an ending of a token is one
         self.lookahead = self._lookahead()
         self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self._cached, self._cached_chunks, self._pieces, self._chunks, self._follows = cached, cached_chunks, {}, {}, {}
+        self._cached, self._cached_chunks, self._pieces, self._chunks, self._follows, self._made = cached, cached_chunks, {}, {}, {}, {}
         self._table: tuple | None = None
 
     def _lookahead(self) -> int:
@@ -72,97 +72,109 @@ class Bpe:
             most = max(most, len(x) + len(y) + wait)
         return most
 
-    def merge(self, piece: bytes) -> list[bytes]:
-        """The merges by rank, leftmost first; used on two tokens at a time only."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            r, i = min((self.rank.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if r == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+    def made(self, token: bytes) -> tuple[int, bytes, bytes] | None:
+        """(rank, left, right) of the last merge that makes ``token`` of its bytes; rank -1 for a byte, None if they don't end up as one."""
+        if token not in self._made:
+            parts, how = [token[i : i + 1] for i in range(len(token))], (-1, b"", b"")
+            while len(parts) > 1:
+                r, i = min((self.rank.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
+                if r == 1 << 60:
+                    how = None
+                    break
+                how = (r, parts[i], parts[i + 1])
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self._made[token] = how
+        return self._made[token]
 
     def follows(self, a: bytes | None, b: bytes) -> bool:
-        """Whether token ``b`` can stand right after ``a`` (None: at the start)."""
+        """Whether token ``b`` can stand right after ``a`` (None: at the start): no merge ever reaches across.
+
+        Back in time, the part that was made last comes apart; two parts that touch would have merged if their
+        rank comes before the merges that used them up. Of equal ranks the left one goes first.
+        """
         if (ok := self._follows.get((a, b))) is None:
             if len(self._follows) > self._cached:
                 self._follows.clear()
-            ok = self._follows[a, b] = self.merge(b) == [b] if a is None else self.merge(a + b) == [a, b]
+            ok = (right := self.made(b)) is not None
+            if ok and a is not None:
+                left, x, y, x_used, y_used = self.made(a), a, b, 1 << 60, 1 << 60
+                while True:
+                    r = self.rank.get((x, y), 1 << 60)
+                    if r < x_used and r <= y_used and r < 1 << 60:
+                        ok = False
+                        break
+                    if left[0] > right[0]:
+                        x_used, x = left[0], left[2]
+                        left = self.made(x)
+                    elif right[0] >= 0:
+                        y_used, y = right[0], right[1]
+                        right = self.made(y)
+                    else:
+                        break
+            self._follows[a, b] = ok
         return ok
 
     def tokens(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """The ids of one piece that arrives in chunks."""
-        ids, longest, follows = self.ids, self.longest, self.follows
+        """The ids of one piece that arrives in chunks.
+
+        A token is stable once ``lookahead`` bytes from its start on have been seen. Tokens leave when they are
+        stable for all ends where a later token could still begin, that is for the last ``longest`` bytes, so the
+        buffer never holds more than ``longest`` + ``lookahead`` bytes and one chunk.
+        """
+        hold = self.longest + self.lookahead
         data, first = b"", None  # not yet emitted bytes, and the token before them
-        last: list[bytes | None] = []  # last[i]: the token that ends at i + 1
+        last: list[bytes] = []  # last[i]: the token that ends at i + 1
         for chunk in chunks:
-            at = len(data)
             data += chunk
-            for end in range(at + 1, len(data) + 1):
-                found = None
-                for start in range(max(0, end - longest), end):
-                    if (t := data[start:end]) in ids:
-                        before = last[start - 1] if start else first
-                        if (start == 0 or before is not None) and follows(before, t):
-                            found = t
-                            break
-                last.append(found)
-            if len(data) > 4 * longest:
-                # later tokens begin in the last ``longest`` bytes; go back to where all ways meet
-                open_at = set(range(len(data) - longest + 1, len(data) + 1)) & {i + 1 for i, t in enumerate(last) if t is not None}
-                while len(open_at) > 1:
-                    open_at.remove(top := max(open_at))
-                    open_at.add(top - len(last[top - 1]))
-                cut = open_at.pop()
-                yield from (out := self._back(last, cut))
-                if out:
-                    first = last[cut - 1]
-                    data, last = data[cut:], last[cut:]
+            self._advance(data, first, last)
+            if len(data) > hold:
+                end = len(data)
+                while end > len(data) - hold:
+                    end -= len(last[end - 1])
+                if end > 0:
+                    yield from self._back(last, end)
+                    first = last[end - 1]
+                    data, last = data[end:], last[end:]
         yield from self._back(last, len(data))
 
-    def _back(self, last: list[bytes | None], end: int) -> list[int]:
+    def _advance(self, data: bytes, first: bytes | None, last: list[bytes]) -> None:
+        """Carry ``last`` on to the end of ``data``: of the tokens that end at a byte, one may follow what is before it."""
+        ends, get = self._ends, self._follows.get
+        for end in range(len(last) + 1, len(data) + 1):
+            found = []
+            for start in range(end - 1, -1, -1):
+                t = data[start:end]
+                if (whole := ends.get(t)) is None:
+                    break
+                if whole:
+                    found.append(t)
+            for t in reversed(found):
+                start = end - len(t)
+                key = (last[start - 1] if start else first), t
+                if (ok := get(key)) is None:
+                    ok = self.follows(*key)
+                if ok:
+                    last.append(t)
+                    break
+            else:
+                raise ValueError(f"the vocabulary has no token for the byte {data[end - 1]}")
+
+    def _back(self, last: list[bytes], end: int) -> list[int]:
         out = []
         while end:
             out.append(self.ids[last[end - 1]])
             end -= len(last[end - 1])
         return out[::-1]
 
-    def _short(self, raw: bytes) -> tuple[int, ...]:
-        """The transducer's path through a short piece whose end is known: longest tokens first; a cut
-        that leads nowhere isn't tried again. Tokens that may follow one another all along are the tokenisation."""
-        ids, known, follows, n = self.ids, self._follows, self.follows, len(raw)
-        path: list[bytes] = []
-        upto, dead, at = [n], set(), 0
-        while at < n:
-            before = path[-1] if path else None
-            end = upto[-1]
-            while end > at:
-                if end not in dead and (t := raw[at:end]) in ids and (known[before, t] if (before, t) in known else follows(before, t)):
-                    break
-                end -= 1
-            if end > at:
-                upto[-1] = end - 1
-                upto.append(n)
-                path.append(t)
-                at = end
-            else:
-                dead.add(at)
-                upto.pop()
-                at -= len(path.pop())
-        return tuple([ids[t] for t in path])
-
     def _piece(self, piece: str) -> tuple[int, ...]:
         if (got := self._pieces.get(piece)) is None:
             if len(self._pieces) > self._cached:
                 self._pieces.clear()
-            raw = piece.encode()
-            one = self.ids.get(raw)
-            if one is not None and self.follows(None, raw):
-                got = (one,)
-            elif len(raw) <= 64:
-                got = self._short(raw)
+            raw, step = piece.encode(), 1024
+            if len(raw) <= step:
+                self._advance(raw, None, last := [])
+                got = tuple(self._back(last, len(raw)))
             else:
-                step = 4 * self.longest
                 got = tuple(self.tokens(raw[i : i + step] for i in range(0, len(raw), step)))
             if len(raw) <= 64:
                 self._pieces[piece] = got
