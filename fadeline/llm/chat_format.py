@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import settle
+from fadeline.llm._common import delete, discard, settle
 
 OPEN, END = "### ", "</turn>"
 
@@ -42,10 +42,10 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     at = (once.select("tree", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
           .join(key.withColumn("real", F.lit(True)), ["tree", "up"], "left")
           .select("tree", "node", F.when(F.col("real"), F.col("up")).alias("up"), F.lit(1).cast("bigint").alias("depth"), "total"))
-    jumps = []
-    left = None
+    jumps, tables, left = [], [once], None
     while True:
         at = settle(at)
+        tables.append(at)
         jumps.append(at.select("tree", "node", "up"))
         now = at.filter("up IS NOT NULL").count()
         if not now or now == left:  # all have arrived, or what is left goes round in circles
@@ -59,7 +59,10 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     path = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", "branch", "node")
     for jump in jumps[:-1]:
         path = settle(path.unionByName(path.join(jump.filter("up IS NOT NULL"), ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"))).distinct())
-    return path.join(at.select("tree", "node", "depth"), ["tree", "node"]).join(once, ["tree", "node"])
+        tables.append(path)
+    path = settle(path.join(at.select("tree", "node", "depth"), ["tree", "node"]).join(once, ["tree", "node"]))
+    delete(*tables)
+    return path
 
 
 def format_turns(turns: DataFrame, key: list[str], order: list[str], loss_role: str = "assistant") -> DataFrame:
@@ -84,10 +87,13 @@ def format_turns(turns: DataFrame, key: list[str], order: list[str], loss_role:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns (array of role, text) read back from a formatted conversation."""
+    """Turns (array of role, text) read back from a formatted conversation; roles and texts may be of any length."""
     turns = F.filter(F.split(formatted, END + "\n", -1), lambda x: x != "")
-    head = r"(?s)^### ((?:[^\\:]|\\.){0,1000}): (.*)$"
-    return F.transform(turns, lambda x: F.struct(unescape(F.regexp_extract(x, head, 1)).alias("role"), unescape(F.regexp_extract(x, head, 2)).alias("text")))
+    # a colon within a role stands behind a backslash of its own; blanked out in pairs, only the mark's colon is left
+    plain = lambda x: F.replace(F.replace(x, F.lit("\\\\"), F.lit("\0\0")), F.lit("\\:"), F.lit("\0\0"))
+    cuts = F.transform(turns, lambda x: F.struct(x.alias("x"), F.instr(plain(x), ": ").alias("colon")))
+    part = lambda c, at, size: F.substring(c["x"], at, size)
+    return F.transform(cuts, lambda c: F.struct(unescape(part(c, F.lit(len(OPEN) + 1), c["colon"] - len(OPEN) - 1)).alias("role"), unescape(part(c, c["colon"] + 2, F.length(c["x"]))).alias("text")))
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
@@ -101,10 +107,15 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     A conversation is a reply tree in which each row answers the one before it, by turn; equal turns
     go by role and text, null turns first. Repeated rows stay turns of their own. Null ids form one conversation.
+    An empty table gives an empty one; other columns are ignored. Paths are found among messages without their
+    texts; these are shuffled for their places only, where those of a conversation come together anyway, twice in all.
     """
     tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("bigint")
-    messages = (rows.select(tree.alias("tree"), "conv_id", "turn", "role", "text").withColumn("node", place)
-                .select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "conv_id", "role", "text"))
-    chosen = best_paths(messages)
-    return format_turns(chosen.select("tree", "conv_id", "depth", "role", "text"), ["tree", "conv_id"], ["depth"]).drop("tree")
+    messages = rows.select(tree.alias("tree"), "conv_id", "turn", "role", "text").withColumn("node", place)
+    slim = settle(messages.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score")))
+    path = best_paths(slim)
+    left_out = settle(slim.join(path.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node"))
+    discard(slim, path)  # the places' shuffle goes as well
+    chosen = messages if left_out.isEmpty() else messages.join(left_out, ["tree", "node"], "left_anti")
+    return format_turns(chosen.select("tree", "conv_id", "node", "role", "text"), ["tree", "conv_id"], ["node"]).drop("tree")
