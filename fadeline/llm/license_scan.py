@@ -151,13 +151,14 @@ def scan(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     speakers = labelled.filter(F.col("license").isNotNull() & (F.col("path").rlike(_FILES) | (F.col("share") >= SPEAKS)))
     spoken = speakers.select(folder.alias("folder"), F.struct((-F.col("similarity")).alias("s"), "license").alias("best")).filter("folder IS NOT NULL").groupBy("folder").agg(F.min("best").alias("best"))
-    spoken = spoken.select("folder", F.col("best.license").alias("theirs"))
+    spoken = settle(spoken.select("folder", F.col("best.license").alias("theirs")))
     # folders, not files, look for their ancestors: a folder is one row however many files it holds
     folders = labelled.filter("license IS NULL AND path IS NOT NULL").select(folder.alias("at")).distinct()
     parts = F.split("at", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     above = folders.select("at", F.explode(F.array_distinct(ups)).alias("folder")).join(spoken, "folder")
     nearest = above.groupBy("at").agg(F.max(F.struct(F.length("folder").alias("depth"), "folder", "theirs")).alias("best")).select("at", F.col("best.folder").alias("from"), "best.theirs")
+    nearest = settle(nearest)  # a table, so that a large folder's files can be dealt over several tasks
     need = labelled.withColumn("at", F.when(F.col("license").isNull(), folder))
     out = need.filter("at IS NOT NULL").join(nearest, "at", "left").unionByName(need.filter("at IS NULL").withColumn("from", F.lit(None).cast("string")).withColumn("theirs", F.lit(None).cast("string")))
     return out.select("key", "path", F.coalesce("license", "theirs").alias("license"), "similarity", F.coalesce("n_segments", F.lit(0)).cast("bigint").alias("n_segments"), F.col("from").alias("inherited_from"))
