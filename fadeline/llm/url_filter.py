@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fadeline.llm._common import free_name
+
 _A_TO_Z, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,7 +38,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     path starts with the rule's. Of equally long rules that fit, the first in ``rules`` wins.
     """
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule, verdict in sorted(rules, key=lambda r: len(r[0])):
+    for rule, verdict in sorted(reversed(rules), key=lambda r: len(r[0])):  # the last one that fits is the outermost condition
         h, _, p = rule.partition("/")
         fits = ((host == h) | host.endswith("." + h)) & path.startswith("/" + p)
         out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
@@ -79,26 +81,22 @@ class CharModel:
         return sum(self.log_p(s[i - n : i + 1]) for i in range(n, len(s))) / (len(s) - n)
 
 
-def fit(labelled: DataFrame, sample: int = 10_000, order: int = 4, holdout: int = 5) -> tuple[CharModel, CharModel, float]:
+def fit(labelled: DataFrame, sample: int = 10_000, order: int = 4, holdout: int = 5, longest: int = 2_000) -> tuple[CharModel, CharModel, float]:
     """(accepted model, rejected model, threshold) from ``labelled(url, verdict)``.
 
-    Learns from at most ``sample`` URLs of each verdict, those with the smallest hashes: a bounded
-    sample, documented as such. Every ``holdout``-th of them is left out and calibrates the
+    Learns from at most ``sample`` different URLs of each verdict, those with the smallest hashes among the ones of
+    at most ``longest`` characters: a bounded sample (of 40 MB at most), documented as such. Every ``holdout``-th of them is left out and calibrates the
     threshold: the difference that errs least on both sides alike. Without URLs of either
     verdict the models stay empty and nothing is blocked.
     """
-    ready = labelled.filter(F.col("url").isNotNull()).select("url", "verdict", F.xxhash64("url").alias("h"))
-    number = {r["verdict"]: r["count"] for r in ready.groupBy("verdict").count().collect()}
+    ready = labelled.filter(F.length("url") <= longest).select("url", "verdict", F.xxhash64("url").alias("h"))
+    number = {r["verdict"]: r["n"] for r in ready.groupBy("verdict").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     kept = {}
     for verdict in ("allow", "block"):
-        # hashes under which about twice the sample lies, so that a task sends few rows to the driver
+        # hashes under which about twice the sample lies, so that few rows are shuffled or sent to the driver
         share = min(1.0, 2 * sample / max(1, number.get(verdict, 0)))
-        low = ready.filter(F.col("verdict") == verdict)
-        near = low.filter(F.col("h") <= min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
-        rows = near.orderBy("h", "url").limit(sample).collect()
-        if len(rows) < min(sample, number.get(verdict, 0)):  # unlucky hashes, as of many equal URLs
-            rows = low.orderBy("h", "url").limit(sample).collect()
-        kept[verdict] = [r.url for r in rows]
+        low = ready.filter(F.col("verdict") == verdict).filter(F.col("h") <= min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
+        kept[verdict] = [r.url for r in low.distinct().orderBy("h", "url").limit(sample).collect()]
     train = {v: [u for i, u in enumerate(us) if i % holdout or len(us) < 2 * holdout] for v, us in kept.items()}
     held = {v: us[::holdout] for v, us in kept.items()}
     good, bad = CharModel(train["allow"], order), CharModel(train["block"], order)
@@ -120,14 +118,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url",
 
     The rule decides where one fits, else the models. Null URLs and those without ``://`` have empty
     host and path; they fit no rule, and the models judge them as they stand (null: as empty).
-    Columns of these names are replaced.
+    Repeated rows get the same verdict and stay rows of their own; an empty table gives an empty one. Columns named
+    host, path, rule or verdict are replaced, unless one of them holds the URLs: that raises.
     """
     h, p = host_path(F.col(url))
-    base = pages.drop("host", "path", "rule", "verdict") if url not in ("host", "path", "rule", "verdict") else pages
-    ruled = base.withColumn("host", h).withColumn("path", p).withColumn("__r", rule_for(F.col("host"), F.col("path"), rules))
-    good, bad, threshold = fit(ruled.filter("__r IS NOT NULL").select(F.col(url).alias("url"), F.col("__r.verdict").alias("verdict")), **how)
+    if url in ("host", "path", "rule", "verdict"):
+        raise ValueError(f"the URLs' column can't be named {url}")
+    base = pages.drop("host", "path", "rule", "verdict")
+    r = free_name(base, "__r")
+    ruled = base.withColumn("host", h).withColumn("path", p).withColumn(r, rule_for(F.col("host"), F.col("path"), rules))
+    good, bad, threshold = fit(ruled.filter(F.col(r).isNotNull()).select(F.col(url).alias("url"), F.col(f"{r}.verdict").alias("verdict")), **how)
     model = pages.sparkSession.sparkContext.broadcast((good, bad, threshold))
-    out = T.StructType([*ruled.drop("__r").schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+    out = T.StructType([*ruled.drop(r).schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
     def run(batches):
         good, bad, threshold = model.value
@@ -136,4 +138,4 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url",
             got = [v or ("block" if bad.score(u or "") - good.score(u or "") > threshold else "allow") for u, v in zip(urls, verdicts, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.string())], names=out.names)
 
-    return ruled.select("*", F.col("__r.rule").alias("rule"), F.col("__r.verdict").alias("verdict")).drop("__r").mapInArrow(run, out)
+    return ruled.select("*", F.col(f"{r}.rule").alias("rule"), F.col(f"{r}.verdict").alias("verdict")).drop(r).mapInArrow(run, out)
