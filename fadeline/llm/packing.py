@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fadeline.llm._common import KEPT, delete, free_name, gathered, settle
+from fadeline.llm._common import KEPT, delete, free_name, gathered, settle, trim
 
 #: Pieces in a shard, on average; a bin that is fuller than WELL is final.
 SHARD, WELL = 16_384, 0.998
@@ -43,7 +43,7 @@ class Tokens:
     differ from the library's order of steps are left to the library as they are, word by word.
     """
 
-    def __init__(self, path: str, cached: int = 280_000, cached_pieces: int = 300_000):
+    def __init__(self, path: str, cached: int = 200_000, cached_pieces: int = 150_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -56,25 +56,28 @@ class Tokens:
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces, many in one text; where that doesn't come apart as expected, one by one."""
+        known: dict[str, bytes] = {}
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
             ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self._last[np.minimum(ids, len(self._last) - 1)]) + 1
             if len(ends) == len(part):
                 raw, ends = ids.tobytes(), (ends * 4).tolist()
-                self._pieces.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                known.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
-                self._pieces.update(zip(part, self._library(part), strict=True))
+                known.update(zip(part, self._library(part), strict=True))
+        return known
 
-    def _resolve(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct lower-cased words. Words are kept in two generations, so that the frequent ones outlive the rare."""
+    def _resolve(self, words: list[str], often: list[bool]) -> list[bytes]:
+        """The ids of distinct lower-cased words. Words that occur ``often`` are kept, in two generations, so that
+        frequent ones outlive the rare; most words of a large corpus occur once and aren't worth their place."""
         if len(self._words) > self._cached:
             self._words, self._older = {}, self._words
-        known, older = self._words, self._older
         if len(self._pieces) > self._cached_pieces:
             self._pieces.clear()
+        known, older, pieces = self._words, self._older, self._pieces
         found = list(map(known.get, words))
         missing = []
         for k in [k for k, f in enumerate(found) if f is None]:
@@ -83,17 +86,20 @@ class Tokens:
             else:
                 missing.append(k)
         if missing:
-            cut, pieces, split = [], self._pieces, _PIECE.findall
+            cut, split, fresh, twice = [], _PIECE.findall, set(), set()
             for k in missing:
                 w = words[k]
-                cut.append([w] if w.isascii() and w.isalpha() else split(w))
-            if new := list({p for ps in cut for p in ps if p not in pieces}):
-                self._learn(new)
+                cut.append(ps := (w,) if w.isascii() and w.isalpha() else split(w))
+                for p in ps:
+                    if p not in pieces:
+                        (twice if p in fresh else fresh).add(p)
+            new = self._learn(list(fresh))
+            pieces.update((p, new[p]) for p in twice)
             for k, ps in zip(missing, cut, strict=True):
-                w = words[k]
-                found[k] = raw = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-                if len(w) <= 48:
-                    known[w] = raw
+                raw = b"".join([new[p] if p in new else pieces[p] for p in ps])
+                found[k] = raw
+                if often[k] and len(words[k]) <= 48:
+                    known[words[k]] = raw
         return found
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
@@ -115,11 +121,11 @@ class Tokens:
         if simple:
             lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.take(pa.array(simple)), "")))
             coded = lists.flatten().dictionary_encode()
-            raws = self._resolve(coded.dictionary.to_pylist())
+            word = coded.indices.to_numpy()
+            raws = self._resolve(coded.dictionary.to_pylist(), (np.bincount(word, minlength=len(coded.dictionary)) > 1).tolist())
             blob = np.frombuffer(b"".join(raws), "<u4")
             length = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
             first = np.cumsum(length) - length
-            word = coded.indices.to_numpy()
             n = length[word]
             ends = np.r_[0, np.cumsum(n)]
             flat = blob[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])] if len(word) else blob[:0]
@@ -144,7 +150,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         if path not in _LOADED:
             _LOADED[path] = Tokens(path)
         tokens = _LOADED[path]
-        for b in gathered(batches):
+        trim()
+        for b in gathered(batches, 4 << 20):
             rows: list[tuple] = []
             for d, ids in zip(b[0].to_pylist(), tokens.ids(b[1]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -155,6 +162,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             out = [pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(out if with_ids else out[:5], names=names if with_ids else names[:5])
+            del rows, cols, out
+            trim()
 
     shape = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return docs.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, shape)
