@@ -17,14 +17,12 @@ def recall(found: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFrame:
 
     ``found`` and ``truth`` are (qid, rank, id). A query without results counts with no hits; an id found twice counts once.
     """
-    out = None
-    for k in ks:
-        want = truth.filter(F.col("rank") <= k).select("qid", "id")
-        got = found.filter(F.col("rank") <= k).select("qid", "id").distinct()
-        queries = truth.select("qid").distinct().agg((F.count("*") * k).alias("expected"))
-        one = want.join(got, ["qid", "id"]).agg(F.count("*").alias("hits")).join(queries).select(F.lit(k).cast("bigint").alias("k"), "hits", "expected", (F.col("hits") / F.greatest("expected", F.lit(1))).alias("recall"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    got = found.filter(F.col("rank") <= max(ks)).groupBy("qid", "id").agg(F.min("rank").alias("got"))
+    # one join for all k: a true id is a hit from the k on at which both sides have it
+    met = truth.select("qid", "id", F.col("rank").alias("want")).join(got, ["qid", "id"], "left").withColumn("from", F.when(F.col("got").isNotNull(), F.greatest("want", "got")))
+    sums = met.agg(F.countDistinct("qid").alias("n"), *(F.count_if(F.col("from") <= k).alias(f"hits_{k}") for k in ks))
+    each = F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"hits_{k}").alias("hits"), (F.col("n") * k).alias("expected")) for k in ks)))
+    return sums.select(each.alias("x")).select("x.*", (F.col("x.hits") / F.greatest("x.expected", F.lit(1))).alias("recall"))
 
 
 def same_sets(a: DataFrame, b: DataFrame) -> DataFrame:

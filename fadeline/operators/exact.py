@@ -94,8 +94,10 @@ def _block(rows: DataFrame, part: pa.Table, k: int, modes: list[tuple[float, flo
     def search(batches):
         qids, tau, q = sent.value
         best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for whole in batches:
-            if not len(whole) or not len(qids):
+        # scores of a tile, not of a batch, are held at once: 32 MB of each kind
+        tiles = (b.slice(at, step) for step in [max(1, (4 << 20) // max(1, len(qids)))] for b in batches for at in range(0, len(b), step))
+        for whole in tiles:
+            if not len(qids):
                 continue
             parts = whole["part"].to_numpy()
             for g in np.unique(parts).tolist():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fadeline.config import Decay, Mode, PairMode
 from fadeline.operators.exact import rank
+from fadeline.sources import tables
 
 #: Rows in a shard, on average.
 SHARD = 8192
@@ -328,7 +329,7 @@ class GraphIndex:
             raise ValueError("ids repeat")
         shards = shards or max(1, -(-n // SHARD))
         nodes = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vec", F.col("ts_days").cast("double").alias("ts_days"), F.lit(False).alias("deleted"))
-        return cls(nodes, _edges(nodes, plan), plan, shards)
+        return cls(nodes, tables.written(_edges(nodes, plan)), plan, shards)  # built once, however many searches follow
 
     def search(self, queries: DataFrame, k: int, ef: int = 100, keep: Column | None = None) -> DataFrame:
         """(qid, rank, id, score) for ``queries(qid, qvec, tau)``: every shard is searched, the best k of all are kept.
@@ -373,7 +374,7 @@ class GraphIndex:
         touched = new.select("shard").distinct()
         nodes = self.nodes.unionByName(new)
         edges = self.edges.join(touched, "shard", "left_anti").unionByName(_edges(nodes.join(touched, "shard", "left_semi"), self.plan))
-        return GraphIndex(nodes, edges, self.plan, self.shards)
+        return GraphIndex(nodes, tables.written(edges), self.plan, self.shards)
 
     def delete(self, ids: DataFrame, deleted: bool = True) -> GraphIndex:
         """The index with ``ids(id)`` marked deleted (or not): they stay in the graph and are never returned."""

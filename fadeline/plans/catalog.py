@@ -1,7 +1,8 @@
 """The registered queries over the driver's tables, each with its SQL twin where SQL can say it.
 
-``embeddings`` stands for a collection of timestamped vectors: every 25th row is a query, the others are
-the base, and times are a fixed function of the id over a horizon of 365 days.
+``embeddings`` stands for a collection of timestamped vectors; times are a fixed function of the id over a
+horizon of 365 days. Searches ask for every 50th row, by id, against all rows. Queries about splits of a
+collection (disjointness, runs, source maps) take every 25th row out of it, which is what they are about.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from pyspark.sql import functions as F
 from fadeline.config import Decay, Mode, PairMode, Schedule
 from fadeline.functions import score as S
 from fadeline.operators import audit, clusters, evaluate, exact, graph, sampling, transforms, windows
+from fadeline.sources import tables
 from fadeline.streaming import incremental
 
 TAU, K, HALF_LIFE, ALPHA = 365.0, 10, 90.0, 0.7
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
-_VIEWS = """base AS (SELECT vec_id AS id, embedding AS vec, label, CAST((vec_id * 7919) % 36500 AS DOUBLE) / 100 AS ts FROM embeddings WHERE vec_id % 25 <> 0),
-q AS (SELECT vec_id AS qid, embedding AS qvec, 365.0 + vec_id % 7 AS own_tau FROM embeddings WHERE vec_id % 25 = 0),
+_VIEWS = """base AS (SELECT vec_id AS id, embedding AS vec, label, CAST((vec_id * 7919) % 36500 AS DOUBLE) / 100 AS ts FROM embeddings),
+q AS (SELECT vec_id AS qid, embedding AS qvec, 365.0 + vec_id % 7 AS own_tau FROM embeddings WHERE vec_id % 50 = 0),
 pairs AS (SELECT qid, id, label, ts, own_tau, vec, qvec, list_dot_product(CAST(qvec AS DOUBLE[]), CAST(vec AS DOUBLE[])) AS dot FROM q CROSS JOIN base)"""
 
 
@@ -30,12 +32,12 @@ def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label", (F.pmod(F.col("vec_id") * 7919, F.lit(36500)).cast("double") / 100).alias("ts_days"))
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rows(spark, sf_dir).filter("id % 25 <> 0")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_rows(spark, sf_dir).filter("id % 25 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), (F.lit(365.0) + F.col("id") % 7).alias("tau"))
+    return all_rows(spark, sf_dir).filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), (F.lit(365.0) + F.col("id") % 7).alias("tau"))
 
 
 def query(sql: str | None = None):
@@ -63,7 +65,7 @@ _ADD = "0.7 * dot + 0.3 * exp(-ln(2.0) / 90.0 * (365.0 - ts))"
 
 
 def _top(spark, d, rows=None, **how) -> DataFrame:
-    found = exact.top_k(base(spark, d) if rows is None else rows, asked(spark, d), how.pop("k", K), **how)
+    found = exact.top_k(all_rows(spark, d) if rows is None else rows, asked(spark, d), how.pop("k", K), **how)
     return found.select("qid", "rank", "id", _r("score"))
 
 
@@ -77,7 +79,7 @@ def topk_mul(spark, d):
 
 @query(_top_sql(_MUL))
 def topk_mul_expressions(spark, d):
-    return exact.top_k_sql(base(spark, d), asked(spark, d).drop("tau"), K).select("qid", "rank", "id", _r("score"))
+    return exact.top_k_sql(all_rows(spark, d), asked(spark, d).drop("tau"), K).select("qid", "rank", "id", _r("score"))
 
 
 @query(_top_sql(_ADD))
@@ -99,7 +101,7 @@ def topk_cosine(spark, d):
 ranked AS (SELECT *, row_number() OVER (PARTITION BY half_life, qid ORDER BY score DESC, id) AS rank FROM scored)
 SELECT half_life, qid, CAST(rank AS BIGINT) AS rank, id, round(score, 9) AS score FROM ranked WHERE rank <= 10""")
 def topk_multi_halflife(spark, d):
-    return exact.top_k(base(spark, d), asked(spark, d), K, (30.0, 90.0, 180.0)).select("half_life", "qid", "rank", "id", _r("score"))
+    return exact.top_k(all_rows(spark, d), asked(spark, d), K, (30.0, 90.0, 180.0)).select("half_life", "qid", "rank", "id", _r("score"))
 
 
 @query(_top_sql("dot * exp(-ln(2.0) / 90.0 * (own_tau - ts))"))
@@ -114,7 +116,7 @@ def topk_filtered(spark, d):
 
 @query(_top_sql(_MUL, "WHERE id % 10 <> 3"))
 def topk_without_deleted(spark, d):
-    rows = base(spark, d)
+    rows = all_rows(spark, d)
     return _top(spark, d, exact.without_deleted(rows, rows.filter("id % 10 = 3")))
 
 
@@ -126,7 +128,7 @@ def topk_100(spark, d):
 @query(f"""WITH {_VIEWS}, r AS (SELECT qid, id, 1 - {_MUL} AS distance FROM pairs), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM r)
 SELECT qid, CAST(rank AS BIGINT) AS rank, id, round(distance, 9) AS distance FROM n WHERE rank <= 10""")
 def topk_nearest_first(spark, d):
-    found = exact.top_k(base(spark, d), asked(spark, d), K).select("qid", "id", (1 - F.col("score")).alias("distance"))
+    found = exact.top_k(all_rows(spark, d), asked(spark, d), K).select("qid", "id", (1 - F.col("score")).alias("distance"))
     return exact.nearest_first(found).select("qid", "rank", "id", _r("distance"))
 
 
@@ -148,20 +150,20 @@ _LIFT_Q = "list_append(list_transform(qvec, lambda x: CAST(CAST(sqrt(0.7) AS FLO
 
 @query(_mips(_FLAT, "qvec"))
 def mips_mul_topk(spark, d):
-    rows = base(spark, d).withColumn("vec", transforms.multiplicative_base("vec", "ts_days", TAU, HALF_LIFE))
+    rows = all_rows(spark, d).withColumn("vec", transforms.multiplicative_base("vec", "ts_days", TAU, HALF_LIFE))
     return exact.top_k(rows, asked(spark, d), K, mode=Mode.SEMANTIC).select("qid", "rank", "id", _r("score", 5))
 
 
 @query(_mips(_LIFT, _LIFT_Q))
 def mips_add_topk(spark, d):
-    rows = base(spark, d).withColumn("vec", transforms.additive_base("vec", "ts_days", TAU, HALF_LIFE, ALPHA))
+    rows = all_rows(spark, d).withColumn("vec", transforms.additive_base("vec", "ts_days", TAU, HALF_LIFE, ALPHA))
     q = asked(spark, d).withColumn("qvec", transforms.additive_query("qvec", ALPHA))
     return exact.top_k(rows, q, K, mode=Mode.SEMANTIC).select("qid", "rank", "id", _r("score", 5))
 
 
-@query("SELECT COUNT(*) AS rows, CAST(SUM(len(embedding)) AS BIGINT) AS elements, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS missing, true AS aligned FROM embeddings WHERE vec_id % 25 <> 0")
+@query("SELECT COUNT(*) AS rows, CAST(SUM(len(embedding)) AS BIGINT) AS elements, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS missing, true AS aligned FROM embeddings")
 def transform_alignment(spark, d):
-    rows = base(spark, d)
+    rows = all_rows(spark, d)
     wanted = rows.select("id", F.transform("vec", lambda x: x.cast("double") * S.freshness(F.col("ts_days"), TAU, HALF_LIFE)).alias("vec"))
     actual = rows.select("id", transforms.multiplicative_base("vec", "ts_days", TAU, HALF_LIFE).alias("vec"))
     return transforms.alignment(wanted, actual).select("rows", F.col("elements").cast("bigint").alias("elements"), F.col("mismatches").cast("bigint").alias("mismatches"), "missing", "aligned")
@@ -205,7 +207,7 @@ def dd_distance_semantic(spark, d):
 
 @query(f"WITH {_VIEWS} SELECT qid, id, round(CASE WHEN d < 0 AND d > -1e-7 THEN 0 ELSE d END, 9) AS distance FROM (SELECT qid, id, 1 - greatest(-1.0, least(1.0, dot)) * exp(-ln(2.0) / 90.0 * (own_tau - ts)) AS d FROM pairs) t")
 def qd_distance(spark, d):
-    pairs = base(spark, d).join(F.broadcast(asked(spark, d)))
+    pairs = all_rows(spark, d).join(F.broadcast(asked(spark, d)))
     return pairs.select("qid", "id", F.round(S.query_distance("qvec", "vec", "ts_days", "tau", _PAIR), 9).alias("distance"))
 
 
@@ -223,9 +225,9 @@ def kappa_schedule(spark, d):
     return level.select("level", F.round(S.kappa("level", per), 12).alias("per_level"), F.round(S.kappa("level", _PAIR), 12).alias("two_tier"), F.round(1 / (F.pow(F.lit(2.0), F.col("level") + 1) - 1), 12).alias("from_spread"))
 
 
-@query("SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS failures FROM embeddings WHERE vec_id % 25 <> 0")
+@query("SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS failures FROM embeddings")
 def fastpath_equivalence(spark, d):
-    return audit.fast_path_check(base(spark, d), TAU, 0.0, _PAIR).select("rows", "failures")
+    return audit.fast_path_check(all_rows(spark, d), TAU, 0.0, _PAIR).select("rows", "failures")
 
 
 @query(f"""WITH {_PAIR_VIEW} SELECT a, b, round(exp(-x), 9) AS freshness FROM p""")
@@ -261,7 +263,8 @@ def duplicate_rows(spark, d):
 
 @query("SELECT COUNT(*) AS overlapping_queries FROM embeddings WHERE vec_id % 25 = 0 AND embedding IN (SELECT embedding FROM embeddings WHERE vec_id % 25 <> 0)")
 def query_base_overlap(spark, d):
-    return audit.overlap(asked(spark, d), base(spark, d))
+    held_out = all_rows(spark, d).filter("id % 25 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return audit.overlap(held_out, split_base(spark, d))
 
 
 @query("WITH t AS (SELECT CAST((vec_id * 7919) % 36500 AS DOUBLE) / 100 AS ts FROM embeddings) SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS nonfinite, count_if(ts > 300 + 1e-9)::BIGINT AS out_of_range, min(ts) AS min_ts, max(ts) AS max_ts FROM t")
@@ -272,7 +275,7 @@ def time_audit(spark, d):
 @query(f"""WITH {_VIEWS}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {_MUL} DESC, id) AS rank FROM pairs), g AS (SELECT * FROM r WHERE rank <= 10), per AS (SELECT qid, COUNT(*) AS n, min(id) AS low, max(id) AS high FROM g GROUP BY qid)
 SELECT COUNT(*) AS queries, CAST(sum(n) AS BIGINT) AS entries, CAST(0 AS BIGINT) AS invalid_ids, CAST(0 AS BIGINT) AS queries_with_duplicates, min(low) AS min_id, max(high) AS max_id, min(n) AS min_width, max(n) AS max_width FROM per""")
 def gt_structure(spark, d):
-    return audit.ground_truth_structure(exact.top_k(base(spark, d), asked(spark, d), K), base(spark, d))
+    return audit.ground_truth_structure(exact.top_k(all_rows(spark, d), asked(spark, d), K), all_rows(spark, d))
 
 
 _SPLIT = "m AS (SELECT vec_id AS source_row, vec_id % 25 = 0 AS is_query FROM embeddings)"
@@ -287,14 +290,14 @@ def split_report(spark, d):
 
 @query("WITH g AS (SELECT vec_id, vec_id - row_number() OVER (ORDER BY vec_id) AS g FROM embeddings WHERE vec_id % 25 <> 0) SELECT min(vec_id) AS first, max(vec_id) AS last, COUNT(*) AS length FROM g GROUP BY g.g")
 def contiguous_runs(spark, d):
-    return windows.contiguous_runs(base(spark, d), 64)
+    return windows.contiguous_runs(split_base(spark, d), 64)
 
 
 @query("SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS unmapped, count_if(vec_id % 25 = 3)::BIGINT AS mismatches FROM embeddings WHERE vec_id % 25 <> 0")
 def source_map_check(spark, d):
     source = all_rows(spark, d)
-    subset = base(spark, d).select((F.col("id") + 1000).alias("id"), F.when(F.col("id") % 25 == 3, F.transform("vec", lambda x: x + F.lit(1.0).cast("float"))).otherwise(F.col("vec")).alias("vec"))
-    return audit.source_map_check(subset, base(spark, d).select((F.col("id") + 1000).alias("id"), F.col("id").alias("source_row")), source)
+    subset = split_base(spark, d).select((F.col("id") + 1000).alias("id"), F.when(F.col("id") % 25 == 3, F.transform("vec", lambda x: x + F.lit(1.0).cast("float"))).otherwise(F.col("vec")).alias("vec"))
+    return audit.source_map_check(subset, split_base(spark, d).select((F.col("id") + 1000).alias("id"), F.col("id").alias("source_row")), source)
 
 
 # ---- windows and statistics --------------------------------------------------------------------
@@ -380,13 +383,13 @@ def gather_rows(spark, d):
 @query(f"""WITH {_VIEWS}, t AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {_MUL} DESC, id) AS rank FROM pairs), f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY dot DESC, id) AS rank FROM pairs),
 k AS (SELECT unnest([1, 5, 10])::BIGINT AS k) SELECT k, (SELECT COUNT(*) FROM t JOIN f USING (qid, id) WHERE t.rank <= k AND f.rank <= k) AS hits, (SELECT COUNT(*) FROM q) * k AS expected, round((SELECT COUNT(*) FROM t JOIN f USING (qid, id) WHERE t.rank <= k AND f.rank <= k) / ((SELECT COUNT(*) FROM q) * k)::DOUBLE, 9) AS recall FROM k""")
 def recall_at_k(spark, d):
-    truth, found = exact.top_k(base(spark, d), asked(spark, d), K), exact.top_k(base(spark, d), asked(spark, d), K, mode=Mode.SEMANTIC)
+    truth, found = exact.top_k(all_rows(spark, d), asked(spark, d), K), exact.top_k(all_rows(spark, d), asked(spark, d), K, mode=Mode.SEMANTIC)
     return evaluate.recall(found, truth, [1, 5, 10]).select("k", "hits", "expected", _r("recall"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right")
 def kernels_agree(spark, d):
-    return evaluate.same_sets(exact.top_k(base(spark, d), asked(spark, d), K), exact.top_k_sql(base(spark, d), asked(spark, d).drop("tau"), K))
+    return evaluate.same_sets(exact.top_k(all_rows(spark, d), asked(spark, d), K), exact.top_k_sql(all_rows(spark, d), asked(spark, d).drop("tau"), K))
 
 
 _KNN = """e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CAST((vec_id * 7919) % 36500 AS DOUBLE) / 100 AS ts FROM embeddings),
@@ -452,14 +455,14 @@ def decile_in_degrees(spark, d):
 s AS (SELECT checkpoint, qid, p.id, {_MUL} AS score FROM c CROSS JOIN pairs p JOIN o ON o.id = p.id AND o.pos <= o.n // 2 + checkpoint * (o.n // 20)), r AS (SELECT *, row_number() OVER (PARTITION BY checkpoint, qid ORDER BY score DESC, id) AS rank FROM s)
 SELECT CAST(checkpoint AS BIGINT) AS checkpoint, qid, CAST(rank AS BIGINT) AS rank, id, round(score, 9) AS score FROM r WHERE rank <= 10""")
 def incremental_topk_by_checkpoint(spark, d):
-    return incremental.every_checkpoint(base(spark, d), asked(spark, d), K).select("checkpoint", "qid", "rank", "id", _r("score"))
+    return incremental.every_checkpoint(all_rows(spark, d), asked(spark, d), K).select("checkpoint", "qid", "rank", "id", _r("score"))
 
 
 @query(_SQL["incremental_topk_by_checkpoint"])
 def incremental_topk_replay(spark, d):
     _checkpoints(spark)
     out = None
-    for c, kept in incremental.replay(base(spark, d), asked(spark, d), K):
+    for c, kept in incremental.replay(all_rows(spark, d), asked(spark, d), K):
         one = kept.select(F.lit(c).cast("bigint").alias("checkpoint"), "qid", "rank", "id", _r("score"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -469,11 +472,9 @@ def incremental_topk_replay(spark, d):
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """Tests on one machine name no shared folder; a cluster does."""
-    import tempfile
-
+    """Tests on one machine name no shared folder; a cluster must."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fadeline-"))
+        spark.sparkContext.setCheckpointDir(tables.shared_folder(spark))
 
 
 @query()
@@ -510,7 +511,7 @@ def norm_strata_factors(spark, d):
 
 def _ann(method: str, **how):
     def run(spark, d):
-        rows = base(spark, d).select("id", "vec", "ts_days")
+        rows = all_rows(spark, d).select("id", "vec", "ts_days")
         index = graph.GraphIndex.build(rows, graph.Plan(how.get("decay", _PAIR), method, m=16, breadth=64, neighbours=40, seed=100))
         q = asked(spark, d).withColumn("tau", F.lit(TAU))
         c = index.plan.decay
@@ -535,7 +536,7 @@ for _name, _method, _how in (
 
 @query()
 def ann_insert_delete(spark, d):
-    rows = base(spark, d).select("id", "vec", "ts_days")
+    rows = all_rows(spark, d).select("id", "vec", "ts_days")
     index = graph.GraphIndex.build(rows.filter("id % 4 <> 1"), graph.Plan(_PAIR, m=16, breadth=64), shards=2).insert(rows.filter("id % 4 = 1")).delete(rows.filter("id % 10 = 3"))
     q = asked(spark, d).withColumn("tau", F.lit(TAU))
     return evaluate.recall(index.search(q, K, 100), exact.top_k(rows.filter("id % 10 <> 3"), q, K), [K])
@@ -543,12 +544,12 @@ def ann_insert_delete(spark, d):
 
 @query()
 def ann_integrity(spark, d):
-    return graph.GraphIndex.build(base(spark, d).select("id", "vec", "ts_days"), graph.Plan(_PAIR, m=16, breadth=64)).integrity()
+    return graph.GraphIndex.build(all_rows(spark, d).select("id", "vec", "ts_days"), graph.Plan(_PAIR, m=16, breadth=64)).integrity()
 
 
 @query()
 def ann_graph_stats(spark, d):
-    index = graph.GraphIndex.build(base(spark, d).select("id", "vec", "ts_days"), graph.Plan(_PAIR, m=16, breadth=64))
+    index = graph.GraphIndex.build(all_rows(spark, d).select("id", "vec", "ts_days"), graph.Plan(_PAIR, m=16, breadth=64))
     return evaluate.graph_stats(index.levelled(), index.edges.filter("kind = 'graph'"))
 
 

@@ -108,9 +108,17 @@ def latest(spark: SparkSession, state: str) -> DataFrame:
 
 
 def stream_newest_time(arrivals: DataFrame, state: str):
-    """A started query that keeps the newest time of a stream, batch by batch, in ``state``."""
+    """A started query that keeps the newest time that a stream has had so far in ``state``.
+
+    Each micro-batch merges its own newest time with that of the batch before, which is found by number, as in ``stream_top_k``.
+    """
+    spark = arrivals.sparkSession
+
     def take(batch: DataFrame, number: int) -> None:
-        batch.agg(F.max("ts_days").alias("newest")).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        new = batch.select("ts_days")
+        if number:
+            new = new.unionByName(spark.read.parquet(f"{state}/batch={number - 1}").withColumnRenamed("newest", "ts_days"))
+        new.agg(F.max("ts_days").alias("newest")).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     return arrivals.writeStream.foreachBatch(take).option("checkpointLocation", f"{state}/_checkpoint").trigger(availableNow=True).start()
 

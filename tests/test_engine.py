@@ -241,6 +241,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert ranked(incremental.latest(spark, f"{tmp_path}/state")) == ranked(exact.top_k(b, ask(spark, q), 7))
 
 
+def test_stream_newest_time_never_falls(spark, tmp_path):
+    for i, times in enumerate(([5.0, 9.0], [1.0], [])):
+        spark.createDataFrame([(t,) for t in times], "ts_days double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema("ts_days double").parquet(f"{tmp_path}/in/*")
+        incremental.stream_newest_time(stream, f"{tmp_path}/state").awaitTermination()
+        assert incremental.latest(spark, f"{tmp_path}/state").first().newest == 9.0
+
+
 # ---- graphs
 
 
