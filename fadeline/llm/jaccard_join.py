@@ -39,6 +39,8 @@ CELL_BITS, CELL_LEAST, ORDER_CELLS = 22, 16, 1 << 17
 BUCKET, SPREAD = 1 << 17, 20
 #: Largest number of members in a part of a group, and of queries held against it in one task.
 GROUP, QUERIES = 128, 256
+#: Documents near no centre that make a group all the same, when so many have met the same one.
+LOOSE = 32
 
 
 def least_shared(n: int, num: int, den: int) -> int:
@@ -134,13 +136,14 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den
         sets, "doc_id bigint, n bigint, name bigint, node bigint, parity array<bigint>, prefix array<bigint>" + "".join(f", `{c}` bigint" for c in through))
 
 
-def _buckets(sets: DataFrame, level, total: int) -> DataFrame:
+def _buckets(sets: DataFrame, level, total: int, ratio: float) -> DataFrame:
     """(token, node, n, room, centre, centre_order, centre_n, centre_room) for prefix tokens that more than one of ``sets(node, n, prefix)`` holds.
 
     ``total``: about the number of prefix tokens. They travel as packed columns, a few bytes a token, to buckets of
     about ``BUCKET``; those of very frequent cells go by their set's number as well, so that no token fills
-    a task (they keep rows that may be alone). A bucket's centre of a token is one set for all others to meet,
-    the first in an order that is the same for all tokens (``centre_order``), so that alike sets meet the same centres.
+    a task (they keep rows that may be alone). A bucket's centre of a token is one set for all others of its size to
+    meet (up to a factor of ``ratio``, as sets that link have), the first in an order that is the same for all
+    tokens (``centre_order``), so that alike sets meet the same centres.
     A first shared token at positions (i, j) leaves at most min(n_a - i, n_b - j) shared tokens: ``room``.
     """
     buckets = max(1, -(-total // BUCKET))
@@ -167,10 +170,12 @@ def _buckets(sets: DataFrame, level, total: int) -> DataFrame:
         rank, parts = level.value, [unpack_columns(z, 4) for z in table["packed"].to_pylist()]
         token, node, n, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
         turn = (mix(node.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-        order = np.lexsort((turn, token))
-        token, node, turn, n, room = token[order], node[order], turn[order], n[order], (n - pos)[order]
+        kind = np.floor(np.log(n) / np.log(max(ratio, 1.0001)))
+        order = np.lexsort((turn, kind, token))
+        token, node, turn, n, room, kind = token[order], node[order], turn[order], n[order], (n - pos)[order], kind[order]
         new = np.r_[True, token[1:] != token[:-1]]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # the centre is the set with the smallest hash
+        head = new | np.r_[True, kind[1:] != kind[:-1]]
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]  # the centre is the set with the smallest hash
         shared = ~new | np.r_[~new[1:], False] | (spread(token, rank) >= SPREAD)
         at = first[shared]
         return pa.table({"token": token[shared], "node": node[shared], "n": n[shared], "room": room[shared], "centre": node[at], "centre_order": turn[at], "centre_n": n[at], "centre_room": room[at]})
@@ -293,7 +298,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     rows = rows.select("doc_id", "n", F.col("first").alias("node"), *through)
     once = without(node.filter("name IS NOT NULL").select("node", "n", "prefix"), "node", copies)
     total = node.select(F.sum(F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1)).first()[0] or 0
-    bucket = settle(_buckets(once, level, int(total)))
+    bucket = settle(_buckets(once, level, int(total), den / num))
     discard(first)
     slim = node.select("node", "n", "parity")
     side = lambda c: slim.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
@@ -305,7 +310,11 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     # groups: documents that look near the same centre; a document near none is a group by itself
     flat = bucket.filter("node <> centre").filter(open_("n", "centre_n") & fits("n", "centre_n", F.col("room"), F.col("centre_room")))
     met = flat.select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("centre_order").alias("h")).distinct().join(side("a"), "a").join(side("b"), "b").filter(_within_two("a", "b", num, den)).select("a", "b", "h")
-    seed = settle(met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("h", "b"))["b"].alias("seed")))
+    tight = settle(met.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("h", "b"))["b"].alias("seed")))
+    # where the centre that many meet is far from all of them, they still share its tokens with one another
+    stray = settle(bucket.filter("node <> centre").filter(open_("n", "centre_n")).select("node", "centre", "centre_order").join(tight.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("centre_order", "centre"))["centre"].alias("seed")))
+    loose = stray.join(stray.groupBy("seed").agg(F.count("*").alias("held")).filter(F.col("held") >= LOOSE).select("seed"), "seed", "left_semi").select("node", "seed")
+    seed = settle(tight.unionByName(loose))
     # a centre without a centre of its own is a member of its group
     own = seed.select(F.col("seed").alias("node")).distinct().join(seed.select("node"), "node", "left_anti").select("node", F.col("node").alias("seed"))
     members = seed.unionByName(own)
@@ -338,7 +347,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     meets2 = settle(meets.filter("NOT alone").select("a", "seed", "part").unionByName(single))
     alone = single.select(F.col("seed").alias("node"), "seed", "part").distinct()
     more = _open_groups(docs, doc_id, text, k, node, meets2, settle(info.join(meets2.select("seed", "part").distinct(), ["seed", "part"], "left_semi").select("node", "seed", "part").unionByName(alone).distinct()), num, den)
-    discard(node, bucket, seed, members, info, named, meets, meets2, single)  # links and rows are tables of their own
+    discard(node, bucket, tight, stray, seed, members, info, named, meets, meets2, single)  # links and rows are tables of their own
     return rows, links.unionByName(more)
 
 
