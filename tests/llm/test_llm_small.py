@@ -87,6 +87,24 @@ def test_jaccard_dense_groups_in_parts(spark, monkeypatch):
     assert got == brute_components(texts, 4, 85, 100)
 
 
+def test_jaccard_groups_of_far_centres(spark, monkeypatch):
+    """Mixtures of like size share many tokens with a dense group and link with none of it, but may be its centres."""
+    monkeypatch.setattr(jaccard_join, "LOOSE", 2)
+    monkeypatch.setattr(jaccard_join, "GROUP", 8)
+    rng, texts = random.Random(13), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(90):
+        t = list(base)
+        if i % 3 == 0:
+            at = rng.randrange(30)
+            t[at : at + 25] = [f"m{i}x{j}" for j in range(25)]
+        else:
+            t[rng.randrange(60)] = f"v{rng.randrange(1000)}"
+        texts.append(" ".join(t))
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs(spark, texts), k=4, num=85, den=100).collect())
+    assert got == brute_components(texts, 4, 85, 100)
+
+
 def test_jaccard_chains_of_revisions(spark):
     rng, texts = random.Random(11), []
     for c in range(60):
