@@ -56,16 +56,17 @@ def arrival_order(rows: DataFrame, name: str = "pos") -> DataFrame:
 
 
 def checkpoint_of(pos: Column | str, initial: int, batch: int) -> Column:
-    """0 for the first ``initial`` arrivals, then 1, 2, ... for batches of ``batch``."""
+    """0 for the first ``initial`` arrivals, then 1, 2, ... for batches of ``batch``; null after them where batches are empty."""
     p = F.col(pos) if isinstance(pos, str) else pos
-    return F.when(p <= initial, F.lit(0)).otherwise(F.ceil((p - initial) / F.lit(batch))).cast("bigint")
+    later = F.ceil((p - initial) / F.lit(batch)) if batch else F.lit(None)
+    return F.when(p <= initial, F.lit(0)).otherwise(later).cast("bigint")
 
 
-def checkpoint_sizes(n: int, initial_percent: int = 50, batch_percent: int = 5) -> tuple[int, int, int]:
-    """(initial rows, rows of a batch, batches); percentages that don't give whole rows raise."""
+def checkpoint_sizes(n: int, initial_percent: int = 50, batch_percent: int = 5, whole: bool = True) -> tuple[int, int, int]:
+    """(initial rows, rows of a batch, batches); percentages that don't give whole rows raise, unless not ``whole``: then sizes are rounded down."""
     if not (0 < initial_percent < 100 and 0 < batch_percent < 100) or (100 - initial_percent) % batch_percent:
         raise ValueError("the batches must be equal and end at 100 %")
-    if n * initial_percent % 100 or n * batch_percent % 100:
+    if whole and (n * initial_percent % 100 or n * batch_percent % 100):
         raise ValueError("the percentages must give whole numbers of rows")
     return n * initial_percent // 100, n * batch_percent // 100, (100 - initial_percent) // batch_percent
 

@@ -29,15 +29,19 @@ def rescale(kept: DataFrame, half_life: float, days: float) -> DataFrame:
     return kept.withColumn("score", F.col("score") * F.exp(F.lit(-decay_rate(half_life) * days)))
 
 
+def _sizes(base: DataFrame, k: int, initial_percent: int, batch_percent: int, whole: bool) -> tuple[int, int, int]:
+    initial, batch, batches = checkpoint_sizes(base.count(), initial_percent, batch_percent, whole)
+    if whole and initial < k:
+        raise ValueError("the initial rows can't fill a result")
+    return initial, batch, batches
+
+
 def replay(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 50, batch_percent: int = 5, half_life: float = 90.0, mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float = 365.0) -> Iterator[tuple[int, DataFrame]]:
     """(checkpoint, exact top-k so far): only each checkpoint's new rows are scored, the rest is kept.
 
     Rows arrive by (time, id). Percentages that don't give whole batches raise, as does an initial set under k.
     """
-    n = base.count()
-    initial, batch, batches = checkpoint_sizes(n, initial_percent, batch_percent)
-    if initial < k:
-        raise ValueError("the initial rows can't fill a result")
+    initial, batch, batches = _sizes(base, k, initial_percent, batch_percent, True)
     placed = arrival_order(base).withColumn("checkpoint", checkpoint_of("pos", initial, batch)).persist()
     kept = None
     for c in range(batches + 1):
@@ -47,16 +51,15 @@ def replay(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 5
     placed.unpersist()
 
 
-def every_checkpoint(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 50, batch_percent: int = 5, half_life: float = 90.0, mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float = 365.0) -> DataFrame:
+def every_checkpoint(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 50, batch_percent: int = 5, half_life: float = 90.0, mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float = 365.0, whole: bool = True) -> DataFrame:
     """(checkpoint, qid, rank, id, score) of all checkpoints from one pass over the rows.
 
     Each batch's own k best are found once; a checkpoint's result is the k best among those of the
-    batches up to it. The same rows as ``replay`` gives one after the other.
+    batches up to it. The same rows as ``replay`` gives one after the other. Not ``whole``: sizes are rounded
+    down, so the few rows after the last batch don't arrive, and a result may have under k rows.
     """
-    initial, batch, batches = checkpoint_sizes(base.count(), initial_percent, batch_percent)
-    if initial < k:
-        raise ValueError("the initial rows can't fill a result")
-    placed = arrival_order(base).withColumn("batch", checkpoint_of("pos", initial, batch))
+    initial, batch, batches = _sizes(base, k, initial_percent, batch_percent, whole)
+    placed = arrival_order(base).withColumn("batch", checkpoint_of("pos", initial, batch)).filter(F.col("batch") <= batches)
     own = top_k(placed, queries, k, (half_life,), mode, alpha, tau, group="batch")
     later = own.withColumn("checkpoint", F.explode(F.sequence(F.col("batch"), F.lit(batches).cast("bigint"))))
     return rank(later, k, ("checkpoint", "qid")).select("checkpoint", "qid", "rank", "id", "score")

@@ -44,6 +44,19 @@ def test_gives_rows(spark, name):
         assert rows[0]["dangling"] == rows[0]["loops"] == rows[0]["repeats"] == rows[0]["over_degree"] == 0
 
 
+@pytest.mark.parametrize("name", ["incremental_topk_by_checkpoint"])
+@pytest.mark.parametrize("n", [0, 1, 19, 33, 271])
+def test_checkpoints_of_any_number_of_rows(spark, tmp_path, name, n):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < {n}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    got = comparable([tuple(r) for r in df.collect()], df.columns)
+    want = con.sql(catalog.oracle_sql()[name])
+    assert got == comparable(want.fetchall(), want.columns)
+    assert (got != []) == (n > 1)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
