@@ -36,12 +36,13 @@ def _sizes(base: DataFrame, k: int, initial_percent: int, batch_percent: int, wh
     return initial, batch, batches
 
 
-def replay(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 50, batch_percent: int = 5, half_life: float = 90.0, mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float = 365.0) -> Iterator[tuple[int, DataFrame]]:
+def replay(base: DataFrame, queries: DataFrame, k: int, initial_percent: int = 50, batch_percent: int = 5, half_life: float = 90.0, mode: Mode = Mode.MULTIPLICATIVE, alpha: float = 1.0, tau: float = 365.0, whole: bool = True) -> Iterator[tuple[int, DataFrame]]:
     """(checkpoint, exact top-k so far): only each checkpoint's new rows are scored, the rest is kept.
 
     Rows arrive by (time, id). Percentages that don't give whole batches raise, as does an initial set under k.
+    Not ``whole``: sizes are rounded down, so the few rows after the last batch don't arrive, and a result may have under k rows.
     """
-    initial, batch, batches = _sizes(base, k, initial_percent, batch_percent, True)
+    initial, batch, batches = _sizes(base, k, initial_percent, batch_percent, whole)
     placed = arrival_order(base).withColumn("checkpoint", checkpoint_of("pos", initial, batch)).persist()
     kept = None
     for c in range(batches + 1):
@@ -55,8 +56,7 @@ def every_checkpoint(base: DataFrame, queries: DataFrame, k: int, initial_percen
     """(checkpoint, qid, rank, id, score) of all checkpoints from one pass over the rows.
 
     Each batch's own k best are found once; a checkpoint's result is the k best among those of the
-    batches up to it. The same rows as ``replay`` gives one after the other. Not ``whole``: sizes are rounded
-    down, so the few rows after the last batch don't arrive, and a result may have under k rows.
+    batches up to it. The same rows as ``replay`` gives one after the other; ``whole`` is as there.
     """
     initial, batch, batches = _sizes(base, k, initial_percent, batch_percent, whole)
     placed = arrival_order(base).withColumn("batch", checkpoint_of("pos", initial, batch)).filter(F.col("batch") <= batches)
@@ -72,7 +72,7 @@ def replay_with_index(index_insert: Callable[[int, DataFrame], Callable[[int], D
     """
     out = []
     n = base.count()
-    initial, batch, _ = checkpoint_sizes(n, how.get("initial_percent", 50), how.get("batch_percent", 5))
+    initial, batch, _ = checkpoint_sizes(n, how.get("initial_percent", 50), how.get("batch_percent", 5), how.get("whole", True))
     placed = arrival_order(base).withColumn("checkpoint", checkpoint_of("pos", initial, batch))
     for c, truth in replay(base, queries, k, **how):
         search = index_insert(c, placed.filter(F.col("checkpoint") == c).drop("pos", "checkpoint"))

@@ -44,7 +44,7 @@ def test_gives_rows(spark, name):
         assert rows[0]["dangling"] == rows[0]["loops"] == rows[0]["repeats"] == rows[0]["over_degree"] == 0
 
 
-@pytest.mark.parametrize("name", ["incremental_topk_by_checkpoint"])
+@pytest.mark.parametrize("name", ["incremental_topk_by_checkpoint", "incremental_topk_replay"])
 @pytest.mark.parametrize("n", [0, 1, 19, 33, 271])
 def test_checkpoints_of_any_number_of_rows(spark, tmp_path, name, n):
     con = duckdb.connect()
