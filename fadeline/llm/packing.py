@@ -12,13 +12,11 @@ from __future__ import annotations
 
 import itertools
 import json
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,107 +27,106 @@ SHARD, WELL = 16_384, 0.998
 #: Islands of a shard, solutions on an island, and generations in each of the epochs between which elites migrate.
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 3, 8, 3
 
-#: Texts with these are left to the library: characters whose lower case isn't one character, and special tokens.
-_ODD = "[\u0130]|<\\|(?:startoftext|endoftext)\\|>"
+#: Texts of these alone are cut here: Latin letters, signs and punctuation that every engine classes, lowers and normalizes alike.
+#: Others, and those that hold special tokens, are left to the library.
+_PLAIN, _SPECIAL = r"^[\x09-\x0D\x20-\x7E\xA1-\x{12F}\x{131}-\x{24F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}]*$", r"<\|(?:startoftext|endoftext)\|>"
 #: Fixed by the vocabulary: the pattern of its pieces.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The letter that byte-level vocabularies write for each byte; the space stays what parts the pieces.
+_BARE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _BARE) if b != 0x20}
+
+
+def _gather(values: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, their number for each of ``at``) of lists that lie one after the other in ``values``, taken in the order ``at``."""
+    first, n = (np.cumsum(length) - length)[at], length[at]
+    ends = np.cumsum(n)
+    return values[np.repeat(first - (ends - n), n) + np.arange(n.sum())], n
 
 
 class Tokens:
-    """Ids of texts, by words that are looked up once; the tokenizers library makes each piece's ids.
+    """Ids of texts, by words that are cut once; the tokenizers library makes each piece's ids.
 
     Sound for vocabularies that drop white space, lower-case, and close each piece with a token of its
-    own kind (``</w>``): no token spans two pieces. Texts for which lower-casing word by word could
-    differ from the library's order of steps are left to the library as they are, word by word.
+    own kind (``</w>``): no token spans two pieces. Texts of which engines could class, lower or normalize a
+    character otherwise than the library does are left to it as they are.
     """
 
-    def __init__(self, path: str, cached: int = 200_000, cached_pieces: int = 150_000):
+    def __init__(self, path: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # the same merges over pieces that are cut, in lower case and written as bytes' letters already
+        self._merges = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
         self._last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self._last[[i for s, i in spec["model"]["vocab"].items() if s.endswith("</w>")]] = True
-        self._cached, self._cached_pieces, self._words, self._older, self._pieces = cached, cached_pieces, {}, {}, {}
+        self._cached = cached
+        #: Known pieces and their ids: one after the other, piece i has ``_length[i]``.
+        self._known, self._ids, self._length = pa.array([""]), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _library(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, many in one text; where that doesn't come apart as expected, one by one."""
-        known: dict[str, bytes] = {}
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each piece) of pieces, many in one text; where that doesn't come apart as expected, one by one."""
+        ids, length = [], []
         for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self._last[np.minimum(ids, len(self._last) - 1)]) + 1
-            if len(ends) == len(part):
-                raw, ends = ids.tobytes(), (ends * 4).tolist()
-                known.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:
-                known.update(zip(part, self._library(part), strict=True))
-        return known
-
-    def _resolve(self, words: list[str], often: list[bool]) -> list[bytes]:
-        """The ids of distinct lower-cased words. Words that occur ``often`` are kept, in two generations, so that
-        frequent ones outlive the rare; most words of a large corpus occur once and aren't worth their place."""
-        if len(self._words) > self._cached:
-            self._words, self._older = {}, self._words
-        if len(self._pieces) > self._cached_pieces:
-            self._pieces.clear()
-        known, older, pieces = self._words, self._older, self._pieces
-        found = list(map(known.get, words))
-        missing = []
-        for k in [k for k, f in enumerate(found) if f is None]:
-            if (raw := older.get(words[k])) is not None:
-                found[k] = known[words[k]] = raw
+            part = pieces[at : at + 20_000].to_pylist()
+            text = " ".join(part)
+            text = text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+            got = np.array(self._merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._last[np.minimum(got, len(self._last) - 1)]) + 1
+            if len(ends) == len(part) and (not len(got) or ends[-1] == len(got)):
+                ids.append(got)
+                length.append(np.diff(ends, prepend=0))
             else:
-                missing.append(k)
-        if missing:
-            cut, split, fresh, twice = [], _PIECE.findall, set(), set()
-            for k in missing:
-                w = words[k]
-                cut.append(ps := (w,) if w.isascii() and w.isalpha() else split(w))
-                for p in ps:
-                    if p not in pieces:
-                        (twice if p in fresh else fresh).add(p)
-            new = self._learn(list(fresh))
-            pieces.update((p, new[p]) for p in twice)
-            for k, ps in zip(missing, cut, strict=True):
-                raw = b"".join([new[p] if p in new else pieces[p] for p in ps])
-                found[k] = raw
-                if often[k] and len(words[k]) <= 48:
-                    known[words[k]] = raw
-        return found
+                each = self._library(part)
+                ids += each
+                length.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(ids), np.concatenate(length)
+
+    def _resolve(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each word) of distinct lower-cased words.
+
+        Pieces that were met before are known; where they are too many, those of the words at hand stay.
+        """
+        cut = pc.ascii_rtrim_whitespace(pc.replace_substring_regex(words, _PIECE, r"\0 "))
+        lists = pc.ascii_split_whitespace(cut)
+        coded = lists.flatten().dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self._known), -1).to_numpy().astype(np.int64)
+        if len(new := np.flatnonzero(at < 0)):
+            at[new] = np.arange(len(self._known), len(self._known) + len(new))
+            fresh = coded.dictionary.take(pa.array(new))
+            ids, length = self._learn(fresh)
+            self._known = pa.concat_arrays([self._known, fresh])
+            self._ids, self._length = np.r_[self._ids, ids], np.r_[self._length, length]
+        ids, length = _gather(self._ids, self._length, at[coded.indices.to_numpy()])
+        number = np.diff(np.r_[0, np.cumsum(length)][lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        if len(self._known) > self._cached:
+            stay = np.unique(np.r_[0, at])
+            self._known = self._known.take(pa.array(stay))
+            self._ids, self._length = _gather(self._ids, self._length, stay)
+        return ids, number
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids as unsigned 32-bit integers; a null text has none.
 
         Arrow cuts the words of all texts at once and tells the distinct ones; only those are looked up.
         """
+        texts = texts.cast(pa.string())
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
-        ascii_ = pc.fill_null(pc.string_is_ascii(texts), True).to_pylist()
-        odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False).to_pylist()
-        simple, at = [], []
-        for i, (a, o) in enumerate(zip(ascii_, odd, strict=True)):
-            if not o and (a or unicodedata.is_normalized("NFC", texts[i].as_py())):
-                simple.append(i)
-            elif texts[i].is_valid:
-                at.append(i)
-        for i, raw in zip(at, self._library([texts[i].as_py() for i in at]), strict=True):
-            out[i] = np.frombuffer(raw, "<u4")
+        plain = pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(pc.match_substring_regex(texts, _SPECIAL)))
+        simple = np.flatnonzero(pc.fill_null(plain, False).to_numpy(zero_copy_only=False)).tolist()
+        at = np.flatnonzero(pc.fill_null(pc.invert(plain), False).to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(at, self._library([texts[i].as_py() for i in at]), strict=True):
+            out[i] = ids
         if simple:
-            lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.take(pa.array(simple)), "")))
+            lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.take(pa.array(simple))))
             coded = lists.flatten().dictionary_encode()
-            word = coded.indices.to_numpy()
-            raws = self._resolve(coded.dictionary.to_pylist(), (np.bincount(word, minlength=len(coded.dictionary)) > 1).tolist())
-            blob = np.frombuffer(b"".join(raws), "<u4")
-            length = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
-            first = np.cumsum(length) - length
-            n = length[word]
-            ends = np.r_[0, np.cumsum(n)]
-            flat = blob[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])] if len(word) else blob[:0]
-            cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            flat, length = _gather(*self._resolve(coded.dictionary), coded.indices.to_numpy())
+            cuts = np.r_[0, np.cumsum(length)][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
             for k, i in enumerate(simple):
                 out[i] = flat[cuts[k] : cuts[k + 1]]
         return out
