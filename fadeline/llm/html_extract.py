@@ -195,10 +195,28 @@ PART, PARTS = 1024, 4096
 NEAR = 0.8
 
 
-def near_copies(a: list[str], b: list[str]) -> bool:
+def near_copies(a: Counter[str], b: Counter[str]) -> bool:
     """Whether two pages' lines are the same for the most part, in whatever order."""
-    both = Counter(a) & Counter(b)
-    return 2 * sum(len(t) * n for t, n in both.items()) >= NEAR * (sum(map(len, a)) + sum(map(len, b)))
+    size = lambda x: sum(len(t) * n for t, n in x.items())
+    return 2 * size(a & b) >= NEAR * (size(a) + size(b))
+
+
+def decide(lines: list[tuple[int, str]], others: list[list[tuple[int, str]]]) -> tuple[str, int, int, bool]:
+    """(text, number of lines, number of those that the ``others`` share, whether what they don't share is the text).
+
+    Articles' lines are aligned with articles' lines, the rest with the rest. Where the markup names an article, it
+    brings back what is shared inside and takes out what isn't outside; a page of which nothing would be left keeps its plain lines.
+    """
+    gone = np.zeros(len(lines), bool)
+    for inside in (True, False):
+        at = [i for i, (k, _) in enumerate(lines) if (k == 1) is inside]
+        own = [hash(lines[i][1]) for i in at]
+        for other in others:
+            gone[at] |= shared_lines(own, [hash(t) for k, t in other if (k == 1) is inside])
+    new = [x for x, g in zip(lines, gone, strict=True) if not g]
+    kept = [t for k, t in lines if k == 1] or [t for k, t in new if k == 0] or [t for k, t in lines if k == 0]
+    text = " ".join(kept)
+    return text, len(lines), int(gone.sum()), text == " ".join(t for _, t in new)
 
 
 def others_before(run: list, alike) -> list:
@@ -227,12 +245,15 @@ def _bounds(pages: DataFrame, host, path, page_id: str) -> list[tuple]:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row; text is empty where nothing is left, and for null html.
+    """(page_id, url, text, n_lines, n_shared, by_neighbours) of every row; text is empty where nothing is left, and for null html.
+
+    ``n_shared`` of its ``n_lines`` lines are shared with its neighbours; ``by_neighbours``: the others are the text, so that
+    the markup changes nothing.
 
     The order by (host, path, id) is cut into parts, so that no host's pages meet in one task; a part also sees about a
     sixteenth of the parts before and after it. A page is compared with the nearest page before and after it on its host
     that is no copy or near copy of it. Where all that its part sees are, it keeps its plain lines.
-    Only lines outside articles are aligned, so the cost of a pair doesn't grow with its articles.
+    All pages are aligned, whatever their markup says.
     Repeated rows and null urls (host and path empty) are rows like others.
     """
     host, path = host_path(F.col(url))
@@ -261,35 +282,21 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         def emit(run):
             """Texts of a host's pages in a part, in order; a content (packed lines) is read once however often it occurs."""
             lines = {z: [tuple(x) for x in json.loads(unpack.decompress(z))] for z in {r[4] for r in run}}
-            whole = {z: " ".join(t for k, t in x if k == 1) for z, x in lines.items() if any(k == 1 for k, _ in x)}
-            if all(r[4] in whole or r[3] for r in run):
-                yield from ((p, u, whole[z]) for p, u, _, guest, z in run if not guest)
-                return
-            texts = {z: [t for k, t in x if k != 2] for z, x in lines.items()}
-            known = {}
+            texts = {z: Counter(t for k, t in x if k != 2) for z, x in lines.items()}
+            known, left = {}, {}
 
             def alike(a, b):
                 if (a, b) not in known:
                     known[a, b] = known[b, a] = near_copies(texts[a], texts[b])
                 return known[a, b]
 
-            order, left = [r[4] for r in run], {}
+            order = [r[4] for r in run]
             both = zip(others_before(order, alike), reversed(others_before(order[::-1], alike)), strict=True)
             for (p, u, _, guest, z), near in zip(run, both, strict=True):
-                if guest:
-                    continue
-                if z in whole:
-                    yield p, u, whole[z]
-                    continue
-                if (z, near) not in left:
-                    free = [t for k, t in lines[z] if k != 1]
-                    gone = np.zeros(len(free), bool)
-                    for other in near:
-                        if other is not None:
-                            gone |= shared_lines([hash(t) for t in free], [hash(t) for k, t in lines[other] if k != 1])
-                    plain = [(t, g) for (k, t), g in zip(lines[z], gone, strict=True) if k == 0]
-                    left[z, near] = " ".join([t for t, g in plain if not g] or [t for t, _ in plain])
-                yield p, u, left[z, near]
+                if not guest:
+                    if (z, near) not in left:
+                        left[z, near] = decide(lines[z], [lines[x] for x in near if x is not None])
+                    yield p, u, *left[z, near]
 
         def runs():
             run, at = [], None
@@ -317,9 +324,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"), F.col(html).alias("html")).mapInArrow(cut, shape)
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = rows.repartition(n, "part").sortWithinPartitions("part", "host", "path", "page_id")
-    return near.mapInArrow(difference, "page_id bigint, url string, text string")
+    return near.mapInArrow(difference, "page_id bigint, url string, text string, n_lines bigint, n_shared bigint, by_neighbours boolean")
 
 
 def _batch(done: list[tuple]) -> pa.RecordBatch:
-    ids, urls, texts = zip(*done, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    names = ["page_id", "url", "text", "n_lines", "n_shared", "by_neighbours"]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)

@@ -59,7 +59,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fadeline.llm.html_extract import extract
 
-    return extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared", "by_neighbours")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

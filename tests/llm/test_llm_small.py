@@ -316,6 +316,14 @@ def test_html_copies_keep_their_articles(spark, monkeypatch):
         assert got == dict(enumerate(want)), part
 
 
+def test_html_marked_pages_are_aligned_too(spark):
+    page = lambda *body: f"<nav>Menu</nav><article>{''.join(f'<p>{x}</p>' for x in body)}</article><footer>Foot</footer>"
+    pages = [(1, "http://h/1", page("one", "its own words")), (2, "http://h/2", page("two, quite another", "a passage", "and more of it")), (3, "http://h/3", page("three of them", "a passage", "with its own end")),
+             (4, "http://h/4", "<div>Menu</div><p>no mark at all</p><div>Foot</div>"), (5, "http://lone/1", page("alone"))]
+    got = {r.page_id: (r.text, r.n_lines, r.n_shared, r.by_neighbours) for r in html_extract.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: ("one its own words", 4, 2, True), 2: ("two, quite another a passage and more of it", 5, 3, False), 3: ("three of them a passage with its own end", 5, 3, False), 4: ("no mark at all", 3, 2, True), 5: ("alone", 3, 0, False)}
+
+
 def test_html_marks_are_whole_names():
     kept = ['<h2 id="related-work">', '<section id="social-history">', '<section id="search-algorithms">', '<p class="notice-period">', '<h3 id="comments-on-method">', '<p id="notice">', '<div class="print-ad-history">', '<div data-id="search">', "<math>", "<object>"]
     for tag in kept:
