@@ -21,6 +21,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def short_reads(spark: SparkSession) -> None:
+    """Read Parquet by 512 rows at a time: a reader holds all texts of a batch in one array, which doubles as it grows; with 4,096
+    rows of long texts that is tens of MB in one piece."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage and give what it held back to the system.
+
+    A heap otherwise keeps the size of the hungriest step so far, and buffers outside of it stay until the heap's
+    own collector happens to find them; both add to what Python workers need. As many short tasks as there are cores at
+    once: that each executor gets one isn't sure, and nothing depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

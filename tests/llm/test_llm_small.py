@@ -458,6 +458,31 @@ def test_pipeline_judges_row_by_row(spark):
         assert (good[0].doc_id, bad["text"]) not in got and (None, bad["text"]) not in got
 
 
+def test_executors_give_their_heaps_back(spark):
+    import gc
+
+    from fadeline.llm._common import shrink_heaps
+
+    blocks = [spark.sparkContext._gateway.new_array(spark._jvm.byte, 100 << 20) for _ in range(12)]
+    assert len(blocks) == 12 and (grown := spark._jvm.java.lang.Runtime.getRuntime().totalMemory()) >= 1200 << 20
+    del blocks
+    gc.collect()
+    shrink_heaps(spark)
+    assert spark._jvm.java.lang.Runtime.getRuntime().totalMemory() < grown - (600 << 20)
+
+
+def test_each_stage_begins_with_what_earlier_ones_left_given_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    begun, size = [], "spark.sql.parquet.columnarReaderBatchSize"
+    monkeypatch.setattr(corpus_pipeline, "shrink_heaps", begun.append)
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        spark.conf.unset(size)
+        stage(spark, empty, SF)
+        assert begun == [spark] * (k + 1) and spark.conf.get(size) == "512"
+
+
 def test_keep_one_tells_rows_by_id_and_text(spark):
     a, b, near = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z", "a b c d e f g h i j k l m n o z"
     rows = [(1, a), (1, b), (1, a), (2, near), (2, "other words than those above here"), (3, a), (4, b), (None, a), (5, ""), (5, " "), (5, "")]
